@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lanternway.llm.groups import connected_groups, group_sizes
 from lanternway.llm.mixing import mix_documents
 from lanternway.llm.packing import fill_report, pack_documents
+from lanternway.llm.stuffing import find_stuffed
 from lanternway.runtime import table
 
 
@@ -34,4 +35,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_sizes, p7_containers, p7_fill, p8_mixture, p8_shares)}
+def p9_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_stuffed(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_measures(spark, sf_dir).where("is_stuffed").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_sizes, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_measures)}
