@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanternway.llm.groups import connected_groups, group_sizes
 from lanternway.llm.mixing import mix_documents
 from lanternway.llm.packing import fill_report, pack_documents
 from lanternway.llm.stuffing import find_stuffed
+from lanternway.llm.valuemap import is_case, map_values
+from lanternway.plans.general import current_ways
 from lanternway.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.explode(F.array(*[F.struct(F.lit(k).alias("tag_key"), F.col(k).alias("value")) for k in ("highway", "oneway")])).alias("t")
+    ways = current_ways(spark, sf_dir).select(F.lit("osm_ways").alias("ref_table"), F.col("id").alias("record_id"), tags)
+    roads = table(spark, sf_dir, "road_records").where("road_id is not null").select(F.lit("road_records").alias("ref_table"), F.col("road_id").alias("record_id"), tags)
+    reference = table(spark, sf_dir, "tag_values")
+    entries = reference.select("tag_key", F.col("canonical").alias("value"))
+    cases = ways.unionByName(roads).select("ref_table", "record_id", "t.*").where(is_case(F.col("value"))).join(entries, ["tag_key", "value"], "left_anti")
+    meant = map_values(cases.select("tag_key", "value"), reference)
+    return cases.join(meant, ["tag_key", "value"]).select("ref_table", "record_id", "tag_key", "canonical").distinct()
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_found(spark, sf_dir).where("canonical = 'unmatched'").groupBy("ref_table", "tag_key").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(table(spark, sf_dir, "graph_edges"))
 
@@ -43,4 +61,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_measures(spark, sf_dir).where("is_stuffed").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_sizes, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_measures)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p6_found, p6_sizes, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_measures)}
