@@ -49,17 +49,20 @@ def geohash_encode(lat: Column, lon: Column, precision: int = 6) -> Column:
         raw = F.ceil((value - low) * (steps / span)) - 1
         return F.greatest(F.lit(0).cast("long"), F.least(raw, F.lit((1 << bits) - 1).cast("long")))
 
-    x, y = index(lon, -180.0, 360.0, lon_bits), index(lat, -90.0, 180.0, lat_bits)
-
-    def bit(place: int) -> Column:
-        of, bits = (x, lon_bits) if place % 2 == 0 else (y, lat_bits)
-        return F.shiftright(of, bits - 1 - place // 2).bitwiseAND(F.lit(1).cast("long"))
-
-    chars = []
-    for c in range(precision):
-        value = sum((bit(5 * c + b) * (1 << (4 - b)) for b in range(1, 5)), bit(5 * c) * 16)
-        chars.append(F.substring(F.lit(GEOHASH_ALPHABET), (value + 1).cast("int"), F.lit(1)))
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.concat(*chars))
+    def spell(code: Column) -> Column:
+        """Characters of the interleaved bits, longitude first; code is bound once by the lambda below."""
+        chars = []
+        for c in range(precision):
+            value = F.lit(0).cast("long")
+            for b in range(5):
+                place = 5 * c + b
+                of, bits = (code["x"], lon_bits) if place % 2 == 0 else (code["y"], lat_bits)
+                value = value + F.shiftright(of, bits - 1 - place // 2).bitwiseAND(F.lit(1).cast("long")) * (1 << (4 - b))
+            chars.append(F.substring(F.lit(GEOHASH_ALPHABET), (value + 1).cast("int"), F.lit(1)))
+        return F.concat(*chars)
+
+    codes = F.array(F.struct(index(lon, -180.0, 360.0, lon_bits).alias("x"), index(lat, -90.0, 180.0, lat_bits).alias("y")))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.element_at(F.transform(codes, spell), 1))
 
 
 def geohash_box(cell: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lanternway.plans import general, general_sql
+from lanternway.plans import general, general_sql, network, network_sql
 
 FLAGSHIP = "p1_found"
-QUERIES = {**general.QUERIES}
-ORACLES = {**general_sql.ORACLES}
+QUERIES = {**general.QUERIES, **network.QUERIES}
+ORACLES = {**general_sql.ORACLES, **network_sql.ORACLES}
