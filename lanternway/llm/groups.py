@@ -61,8 +61,9 @@ def connected_groups(edges: DataFrame, source: str = "source", target: str = "ta
         grown = scratch.keep(_grow(links, len(levels)))
         levels.append(grown)
         # The end with a hub's many links is salted; each label stands once.
-        one = salted_join(links, grown.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", F.col("b"))
-        two = salted_join(one, grown.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", F.col("a"))
+        n = links.count()
+        one = salted_join(links, grown.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", F.col("b"), rows=n)
+        two = salted_join(one, grown.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", F.col("a"), rows=n)
         rest = two.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
         older, links = links, scratch.keep(rest)
         if len(levels) > 1:
@@ -73,11 +74,11 @@ def connected_groups(edges: DataFrame, source: str = "source", target: str = "ta
             top = grown.withColumnRenamed("c", "root")
         else:
             up = top.withColumnRenamed("v", "c")
-            top = scratch.keep(salted_join(grown, up, "c", F.col("v"), "left").select("v", F.coalesce("root", "c").alias("root")))
+            top = scratch.keep(salted_join(grown, up, "c", F.col("v"), "left", rows=grown.count()).select("v", F.coalesce("root", "c").alias("root")))
     if top is None:
         return nodes.select(F.col("v").alias("node_id"), F.col("v").alias("group_id"))
     least = top.groupBy("root").agg(F.min("v").alias("group_id"))
-    grouped = salted_join(top, least, "root", F.col("v")).select("v", "group_id")
+    grouped = salted_join(top, least, "root", F.col("v"), rows=top.count()).select("v", "group_id")
     return nodes.join(grouped, "v", "left").select(F.col("v").alias("node_id"), F.coalesce("group_id", "v").alias("group_id"))
 
 
