@@ -42,22 +42,22 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     if nodes is not None:
         ids = ids.unionByName(nodes.where("node_id is not null").select("node_id")).distinct()
     links = scratch.keep(pairs.where("source <> target").select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b")).distinct())
-    before = None
+    before, n = None, links.count()
     while True:
         # larger neighbours to the least of the whole neighbourhood
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        big = salted_join(both.where("b > a"), least, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        big = salted_join(both.where("b > a"), least, "a", F.col("b"), rows=n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         big = scratch.keep(big.where("a <> b").distinct())
         # smaller neighbours to the least of them
         low = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted_join(big, low, "a", F.col("b"))
+        small = salted_join(big, low, "a", F.col("b"), rows=n)
         moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         after = scratch.keep(moved.where("a <> b").distinct())
         scratch.drop(big)
         sign = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(links)
-        links = after
+        links, n = after, sign[0]
         if sign == before:
             break
         before = sign
@@ -69,6 +69,7 @@ def ranked_components(members: DataFrame) -> DataFrame:
 
     members: node_id, root, first_seen (any orderable value, unique a node).
     """
+    members = Scratch(members.sparkSession, "members").keep(members)
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("first_seen").alias("seen"))
     ranked = global_index(sizes, [F.col("size").desc(), F.col("seen")], "component").select("root", "component", "size")
-    return salted_join(members, ranked, "root", F.col("node_id")).select("node_id", "component", "size")
+    return salted_join(members, ranked, "root", F.col("node_id"), rows=members.count()).select("node_id", "component", "size")

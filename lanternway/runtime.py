@@ -106,9 +106,16 @@ def salts_of(key: Column, hot: list, salts: int = SALTS) -> Column:
     return F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
-    """Equi-join of ``many`` with ``one`` (at most one row a key) on ``key``, hot keys spread over salts."""
-    hot = hot_keys(many, key)
+#: Below so many rows even a single key fits one task, and looking for hot ones costs more than it saves.
+CROWD_ROWS = 200_000
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """Equi-join of ``many`` with ``one`` (at most one row a key) on ``key``, hot keys spread over salts.
+
+    rows: how many rows ``many`` has, where that is known.
+    """
+    hot = hot_keys(many, key) if rows is None or rows > CROWD_ROWS else []
     if not hot:
         return many.join(one, key, how)
     left = many.withColumn("_salt", salt_of(F.col(key), hot, spread))

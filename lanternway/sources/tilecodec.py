@@ -140,14 +140,24 @@ def decode_tile(blob: bytes) -> tuple[str, pd.DataFrame, pd.DataFrame]:
 
 def encode_tiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """cell, blob of each tile. nodes: cell, node_id (dense), lat, lon, component, halo, junction; edges: cell, source,
-    target (dense), weight, shape ARRAY<STRUCT<lat, lon>>, forward, reverse. A cell is one small task."""
+    target (dense), weight, shape ARRAY<STRUCT<lat, lon>>, forward, reverse. What a cell holds is bounded
+    by its size on the ground, so it is gathered as one row."""
 
-    def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        e = e.assign(shape=[[(p["lat"], p["lon"]) for p in s] if s is not None else [] for s in e["shape"]])
-        return pd.DataFrame({"cell": [key[0]], "blob": [encode_tile(key[0], n, e)]})
+    ns = nodes.groupBy("cell").agg(F.collect_list(F.struct("node_id", "lat", "lon", "component", "halo", "junction")).alias("n"))
+    es = edges.groupBy("cell").agg(F.collect_list(F.struct("source", "target", "weight", "shape", "forward", "reverse")).alias("e"))
 
-    cols = edges.select("cell", "source", "target", "weight", "shape", "forward", "reverse")
-    return nodes.groupBy("cell").cogroup(cols.groupBy("cell")).applyInPandas(run, "cell string, blob binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            blobs = []
+            for cell, n, e in zip(pdf["cell"], pdf["n"], pdf["e"]):
+                e = [dict(x, shape=[(p["lat"], p["lon"]) for p in x["shape"]] if x["shape"] is not None else []) for x in (e if e is not None else [])]
+                ef = pd.DataFrame(e, columns=["source", "target", "weight", "shape", "forward", "reverse"]).astype({"forward": bool, "reverse": bool})
+                blobs.append(encode_tile(cell, pd.DataFrame(list(n)), ef))
+            yield pd.DataFrame({"cell": pdf["cell"], "blob": blobs})
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A number of its own, as the sizes alone would merge all cells into one Python task.
+    return ns.join(es, "cell", "left").repartition(n, "cell").mapInPandas(run, "cell string, blob binary")
 
 
 def decode_tiles(tiles: DataFrame) -> DataFrame:

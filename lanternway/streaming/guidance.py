@@ -24,7 +24,7 @@ def guide_stream(fixes: DataFrame, routes: DataFrame) -> DataFrame:
     """
     lines = routes.where(F.size("points") >= 2).select("session_id", "points")
     live = fixes.withWatermark("ts", "20 seconds")
-    ok = prepared(live.select("session_id", "fix_id", "lat", "lon", "accuracy", "ts", "processed_at")).join(lines, "session_id")
+    ok = prepared(live.select("session_id", "fix_id", "lat", "lon", "accuracy", "ts", "processed_at"), "ts").join(lines, "session_id")
     columns = [c.split()[0] for c in RESULT.split(", ")]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -41,9 +41,9 @@ def guide_stream(fixes: DataFrame, routes: DataFrame) -> DataFrame:
             last = float(rows["ts_s"].iloc[-1])
             yield pd.DataFrame(out, columns=columns)
         state.update((kept.along, kept.arrival_since, kept.arrived, last))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(int(max(last * 1000, state.getCurrentWatermarkMs())) + 3_600_000)
 
-    return ok.groupBy("session_id").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return ok.groupBy("session_id").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(fixes_path: str, schema, routes: DataFrame) -> DataFrame:
