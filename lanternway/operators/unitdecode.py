@@ -21,7 +21,7 @@ from lanternway.functions.units import KMH_PER_UNIT
 UNITS = list(KMH_PER_UNIT)
 LOG_FACTOR = np.log([float(f) for f in KMH_PER_UNIT.values()])
 #: Spread of the log-speed from one record to the next, cost of a switch of units, and level and spread of speeds in log km/h.
-SPREAD, SWITCH, LEVEL, LEVEL_SPREAD = 0.7, 6.0, float(np.log(40.0)), 1.0
+SPREAD, SWITCH, LEVEL, LEVEL_SPREAD = 0.4, 4.0, float(np.log(40.0)), 1.0
 
 
 def viterbi(log_value: np.ndarray, first: tuple[int, float] | None, last: tuple[int, float] | None) -> np.ndarray:
