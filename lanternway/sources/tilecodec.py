@@ -52,25 +52,30 @@ def encode_tile(cell: str, nodes: pd.DataFrame, edges: pd.DataFrame) -> bytes:
     columns += b"\0" * (-(HEADER_BYTES + len(columns)) % 4)
     pool, places = bytearray(), {}
 
-    def shape_at(e, backwards: bool) -> int:
-        points = [(float(np.float32(a)), float(np.float32(b))) for a, b in e.shape]
-        up = e.source <= e.target
-        key = (min(e.source, e.target), max(e.source, e.target), tuple(points if up else points[::-1]))
+    source, target, weight = (edges[c].to_numpy(np.int64) for c in ("source", "target", "weight"))
+    shapes = list(edges["shape"])
+
+    def shape_at(k: int, backwards: bool) -> int:
+        a, b = int(source[k]), int(target[k])
+        up = a <= b
+        points = np.asarray(shapes[k], "<f4").reshape(-1, 2)
+        raw = (points if up else points[::-1]).tobytes()
+        key = (min(a, b), max(a, b), raw)
         if key not in places:
             places[key] = len(pool)
-            pool.extend(struct.pack("<H", len(points)) + np.array(key[2], "<f4").tobytes())
+            pool.extend(struct.pack("<H", len(points)) + raw)
         return places[key] | (0 if up != backwards else BACKWARDS)
 
-    def adjacency(part: pd.DataFrame, near: str, far: str, backwards: bool) -> tuple[bytes, int]:
-        part = part.sort_values([near, far, "weight"], kind="stable")
-        slot = np.searchsorted(ids, part[near].to_numpy(np.int64))
+    def adjacency(used: np.ndarray, near: np.ndarray, far: np.ndarray, backwards: bool) -> tuple[bytes, int]:
+        order = np.flatnonzero(used)
+        order = order[np.lexsort((weight[order], far[order], near[order]))]
+        slot = np.searchsorted(ids, near[order])
         offsets = np.searchsorted(slot, np.arange(len(ids) + 1))
-        refs = np.array([shape_at(e, backwards) for e in part.itertuples()], "<u4")
-        far_slot = np.searchsorted(ids, part[far].to_numpy(np.int64))
-        return offsets.astype("<u4").tobytes() + far_slot.astype("<u4").tobytes() + part["weight"].to_numpy("<u4").tobytes() + refs.tobytes(), len(part)
+        refs = np.array([shape_at(k, backwards) for k in order], "<u4")
+        return offsets.astype("<u4").tobytes() + np.searchsorted(ids, far[order]).astype("<u4").tobytes() + weight[order].astype("<u4").tobytes() + refs.tobytes(), len(order)
 
-    ahead, n_ahead = adjacency(edges[edges["forward"]], "source", "target", False)
-    back, n_back = adjacency(edges[edges["reverse"]], "target", "source", True)
+    ahead, n_ahead = adjacency(edges["forward"].to_numpy(bool), source, target, False)
+    back, n_back = adjacency(edges["reverse"].to_numpy(bool), target, source, True)
     body = columns + ahead + back
     low, high = (int.from_bytes(cell[k : k + 3].encode(), "little") for k in (0, 3))
     south, west, north, east = cell_box(cell)
@@ -157,7 +162,7 @@ def encode_tiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A number of its own, as the sizes alone would merge all cells into one Python task.
-    return ns.join(es, "cell", "left").repartition(n, "cell").mapInPandas(run, "cell string, blob binary")
+    return ns.join(es, "cell", "left").repartition(n, F.crc32("cell")).mapInPandas(run, "cell string, blob binary")
 
 
 def decode_tiles(tiles: DataFrame) -> DataFrame:
@@ -165,8 +170,10 @@ def decode_tiles(tiles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows: list[tuple] = []
             for blob in pdf["blob"]:
                 cell, _, e = decode_tile(bytes(blob))
-                yield e.assign(cell=cell, n_shape=e["shape"].map(len))[["cell", "source", "target", "weight", "n_shape"]].astype({"n_shape": "int32"})
+                rows += [(cell, s, t, w, len(p)) for s, t, w, p in zip(e["source"], e["target"], e["weight"], e["shape"])]
+            yield pd.DataFrame(rows, columns=["cell", "source", "target", "weight", "n_shape"])
 
     return tiles.select(F.col("blob")).mapInPandas(run, "cell string, source long, target long, weight long, n_shape int")
