@@ -188,11 +188,10 @@ def cell_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The geohash-5 cells that cover each small region of the catalogue (valid bounds, sides under a degree)."""
+    """The geohash-5 cells that cover each region of the catalogue with valid bounds, whatever its size."""
     from lanternway.operators.nearby import valid_bounds
 
     r = table(spark, sf_dir, "catalog_regions").where(valid_bounds(F.col("bounds"))).select("region_no", *[F.col("bounds")[i].alias(n) for i, n in enumerate("wsen")])
-    r = r.where("e - w < 1 and n - s < 1")
     step = 180.0 / 2**12  # both sides of a cell of five characters
     span = lambda lo, hi, base: F.sequence(F.greatest(F.ceil((F.col(lo) - base) / step) - 1, F.lit(0)), F.greatest(F.ceil((F.col(hi) - base) / step) - 1, F.lit(0)))
     grid = r.select("region_no", F.explode(span("w", "e", -180.0)).alias("x"), span("s", "n", -90.0).alias("ys")).select("region_no", "x", F.explode("ys").alias("y"))
