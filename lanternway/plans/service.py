@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanternway.functions.lines import cumulative_metres, decimate
 from lanternway.operators import catalog, guidance
-from lanternway.operators.components import connected_components
+from lanternway.operators.components import connected_components, global_index
 from lanternway.operators.nearby import valid_bounds
 from lanternway.plans.network import _graph_edges, _owned, base_nodes, base_ways, dense_ids, placed_edges
 from lanternway.plans.routing import _roads
@@ -110,19 +110,16 @@ def tile_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(fixes, routes): each user walks along the line of the edge with their place in the list of edges.
+    """(fixes, routes): each user walks along the line of the edge with their place in the list of all edges of 3 m and more.
 
     Events are the fixes: their order gives the place along the line, their value the accuracy, and their id a delay.
     """
     from pyspark.sql import Window as W
 
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    roads = _roads(spark, sf_dir).where("edge_id % 100 = 0 and metres >= 3").select("edge_id", "points")
-    ranked = roads.withColumn("n", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("edge_id")))  # a hundredth of the edges of a demonstration
-    count = F.max("n").over(W.partitionBy(F.lit(0)))
-    ranked = ranked.withColumn("m", count)
-    m = ranked.agg(F.max("n")).first()[0] or 1
-    routes = Scratch(spark, "routes").keep(users.withColumn("n", F.pmod("user_id", F.lit(m)).cast("int") + 1).join(ranked, "n").select(F.col("user_id").alias("session_id"), "points"))
+    roads = global_index(_roads(spark, sf_dir).where("metres >= 3").select("edge_id", "points"), ["edge_id"], "n")
+    m = max(roads.count(), 1)
+    routes = Scratch(spark, "routes").keep(users.withColumn("n", F.pmod("user_id", F.lit(m).cast("long"))).join(roads, "n").select(F.col("user_id").alias("session_id"), "points"))
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value").withColumn("k", F.row_number().over(w))
     e = e.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("user_id"))).join(routes.withColumnRenamed("session_id", "user_id"), "user_id")
