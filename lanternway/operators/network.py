@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lanternway.functions.geo import canonical, haversine_m, travel_weight
 from lanternway.functions.rules import blocked_node, profile_rules
+from lanternway.operators.nearby import regions_of_points
 from lanternway.runtime import Scratch
 
 
@@ -151,12 +152,15 @@ def graph_counts(ways: DataFrame, refs: DataFrame, edges: DataFrame) -> DataFram
     return one(seen).join(one(used), "k").join(one(made), "k").drop("k")
 
 
-def crop(ways: DataFrame, nodes: DataFrame, west: float, south: float, east: float, north: float) -> tuple[DataFrame, DataFrame]:
-    """(ways, nodes) of the motor ways that touch a box, borders included, with all nodes they refer to."""
+def crop(ways: DataFrame, nodes: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region_no, way_id) of the motor ways that touch each valid region, borders included, and (region_no, id) of all placed nodes they refer to.
+
+    regions: region_no, bounds.
+    """
     permitted, _, _ = profile_rules("motor", F.col("tags"))
-    inside = nodes.where(F.col("lon").between(west, east) & F.col("lat").between(south, north)).select(F.col("id").alias("ref"))
+    places = nodes.select(F.col("id").alias("point_id"), "lat", "lon", F.lit(None).cast("string").alias("geohash"))
+    inside = regions_of_points(places, regions).withColumnRenamed("point_id", "ref")
     refs = ways.where(permitted & (F.size("nodes") >= 2)).select("way_id", F.explode("nodes").alias("ref"))
-    touching = refs.join(inside, "ref", "left_semi").select("way_id").distinct()
-    kept_ways = ways.join(touching, "way_id", "left_semi")
-    needed = kept_ways.select(F.explode("nodes").alias("id")).distinct()
-    return kept_ways, nodes.join(needed, "id", "left_semi")
+    touching = refs.join(inside, "ref").select("region_no", "way_id").distinct()
+    needed = ways.select("way_id", F.explode("nodes").alias("id")).join(touching, "way_id").select("region_no", "id").distinct()
+    return touching, needed.join(nodes, "id", "left_semi").select("region_no", "id")

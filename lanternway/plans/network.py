@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanternway.functions.geo import canonical, geohash_box, geohash_encode
 from lanternway.operators import components, network
-from lanternway.operators.nearby import usable_position
+from lanternway.operators.nearby import regions_of_points, usable_position, valid_bounds
 from lanternway.runtime import Scratch, table
 
 
@@ -67,9 +67,9 @@ def simplify_motor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bbox_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ways and nodes of one catalogue region (ulmford-city) in one list."""
-    ways, nodes = network.crop(base_ways(spark, sf_dir), base_nodes(spark, sf_dir), 81.2, 24.8, 82.2, 25.7)
-    return ways.select(F.lit("way").alias("kind"), F.col("way_id").alias("id")).unionByName(nodes.select(F.lit("node").alias("kind"), "id"))
+    """The ways and nodes of each valid catalogue region in one list."""
+    ways, nodes = network.crop(base_ways(spark, sf_dir), base_nodes(spark, sf_dir), table(spark, sf_dir, "catalog_regions"))
+    return ways.select("region_no", F.lit("way").alias("kind"), F.col("way_id").alias("id")).unionByName(nodes.select("region_no", F.lit("node").alias("kind"), "id"))
 
 
 def _graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +189,6 @@ def cell_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The geohash-5 cells that cover each region of the catalogue with valid bounds, whatever its size."""
-    from lanternway.operators.nearby import valid_bounds
-
     r = table(spark, sf_dir, "catalog_regions").where(valid_bounds(F.col("bounds"))).select("region_no", *[F.col("bounds")[i].alias(n) for i, n in enumerate("wsen")])
     step = 180.0 / 2**12  # both sides of a cell of five characters
     span = lambda lo, hi, base: F.sequence(F.greatest(F.ceil((F.col(lo) - base) / step) - 1, F.lit(0)), F.greatest(F.ceil((F.col(hi) - base) / step) - 1, F.lit(0)))
@@ -200,14 +198,18 @@ def cells_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells next needed when only the cells owned inside one half of a catalogue region are loaded, with the unresolved nodes in each."""
+    """For each valid catalogue region the cells next needed when only the cells owned inside its western half are loaded, with the unresolved nodes in each."""
     owned = Scratch(spark, "owned").keep(_owned(spark, sf_dir))
-    loaded = owned.where("lon between 81.2 and 81.7 and lat between 24.8 and 25.7").select("cell").distinct()
-    e = placed_edges(spark, sf_dir)
-    ahead = e.select(F.col("source_cell").alias("cell"), F.col("target").alias("far"), F.col("target_cell").alias("far_cell"))
-    back = e.select(F.col("target_cell").alias("cell"), F.col("source").alias("far"), F.col("source_cell").alias("far_cell"))
-    seen = ahead.unionByName(back).join(loaded, "cell", "left_semi").select("far", "far_cell").distinct()
-    return seen.join(loaded.withColumnRenamed("cell", "far_cell"), "far_cell", "left_anti").groupBy(F.col("far_cell").alias("cell")).agg(F.count(F.lit(1)).alias("n_unresolved"))
+    w, s, e, n = (F.col("bounds")[i] for i in range(4))
+    halves = table(spark, sf_dir, "catalog_regions").where(valid_bounds(F.col("bounds"))).select("region_no", F.array(w, s, (w + e) / 2, n).alias("bounds"))
+    inside = regions_of_points(owned.select(F.col("node_id").alias("point_id"), "lat", "lon", F.lit(None).cast("string").alias("geohash")), halves)
+    loaded = Scratch(spark, "loaded").keep(inside.withColumnRenamed("point_id", "node_id").join(owned, "node_id").select("region_no", "cell").distinct())
+    edges = placed_edges(spark, sf_dir)
+    ahead = edges.select(F.col("source_cell").alias("cell"), F.col("target").alias("far"), F.col("target_cell").alias("far_cell"))
+    back = edges.select(F.col("target_cell").alias("cell"), F.col("source").alias("far"), F.col("source_cell").alias("far_cell"))
+    seen = ahead.unionByName(back).where("cell <> far_cell").join(loaded, "cell").select("region_no", "far", "far_cell").distinct()
+    missing = seen.join(loaded.withColumnRenamed("cell", "far_cell"), ["region_no", "far_cell"], "left_anti")
+    return missing.groupBy("region_no", F.col("far_cell").alias("cell")).agg(F.count(F.lit(1)).alias("n_unresolved"))
 
 
 QUERIES = {
