@@ -139,7 +139,7 @@ class PackedGraph:
         return self.ids[hit], dist[hit]
 
     def path(self, source: int, target: int) -> tuple[int | None, list[int]]:
-        """(cost, nodes) of a cheapest path; (None, []) if there is none. Of equal paths the one found first."""
+        """(cost, nodes) of a cheapest path; (None, []) if there is none. Of equally cheap predecessors the smallest is taken."""
         if source == target:
             return 0, [source]
         s, t = self.number(source), self.number(target)
@@ -163,6 +163,8 @@ class PackedGraph:
                     dist[v] = nd
                     came[v] = u
                     heapq.heappush(heap, (nd, v))
+                elif v in came and nd == dist[v] and u < came[v]:  # numbers are in the order of ids
+                    came[v] = u
         return None, []
 
 
@@ -178,8 +180,8 @@ def shortest_paths(edges: DataFrame, requests: DataFrame, edge_cost: Column | No
     """Cheapest path of each request: request_id, source, target, status, cost, path ARRAY<BIGINT>.
 
     requests: request_id, source, target. status is 'complete', or 'no-route' (cost null, path empty) if an end is
-    null or unknown or no path leads there. From a node to itself costs 0, known or not. Paths are
-    not unique; costs are. kernel: None chooses by the number of edges.
+    null or unknown or no path leads there. From a node to itself costs 0, known or not. Of
+    equally cheap paths the one is given that takes the smallest predecessor, seen from the target. kernel: None chooses by the number of edges.
     """
     spark = edges.sparkSession
     links = Scratch(spark, "links").keep(costed(edges, edge_cost))
