@@ -21,10 +21,6 @@ from pyspark.sql import functions as F
 
 from lanternway.runtime import Scratch
 
-#: Least Jaccard similarity of token sets; one slip in a word of four letters leaves about this much.
-SIMILAR = 0.39
-#: Longest run of words taken as one; forms have at most one word less.
-WORDS = 6
 #: Letters of other alphabets that look like Latin ones; fixed values.
 LOOKALIKES = str.maketrans("асеорхуіјѕкмтнвԁɡοαρντυικ", "aceopxyijskmthbdgoapvtuik")
 DASHES = "−–—‐‑‒﹣－"
@@ -88,6 +84,10 @@ def slips(form: str) -> int:
     return 0 if n < 3 else 1 if n < 6 else 2 if n < 12 else 3
 
 
+#: Least Jaccard similarity of token sets that slips can leave: n letters make 2n + 1 tokens, and a slip costs at most three on either side. Least at six letters, 7 of 19.
+SIMILAR = min((2 * n + 1 - 3 * k) / (2 * n + 1 + 3 * k) for n in range(3, 13) for k in [slips("x" * n)]) - 1e-9
+
+
 NUMBER = re.compile(r"^\s*(-?)\s*(\d+)(?:[.,]0+)?(?![\d.,]*\d)")
 
 
@@ -112,12 +112,12 @@ def cut(key: str, value: str) -> tuple[list[str], list[str], list[int]]:
 
 
 def windows(key: str, value: str, longest: int) -> list[tuple[int, int, str]]:
-    """(first word, end, compact text) of all runs of at most WORDS words no longer than ``longest`` letters."""
+    """(first word, end, compact text) of all runs of words no longer than ``longest`` letters."""
     words, _, _ = cut(key, value)
     out = []
     for i in range(len(words)):
         text = ""
-        for j in range(i, min(len(words), i + WORDS)):
+        for j in range(i, len(words)):
             text += words[j]
             if len(text) > longest:
                 break
