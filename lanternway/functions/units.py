@@ -56,17 +56,13 @@ def unit_in(text: Column) -> Column:
 def unit_in_prose(text: Column) -> Column:
     """The unit of a bare figure according to a sentence about it, as feeds' notes are.
 
-    Besides the spellings, prose may put words between the parts ("metres walked in one minute").
+    Besides the spellings, prose may put a few words between a length and the time it is covered in.
     """
     t = plain(text)
-    loose = (
-        F.when(t.rlike(rf"{_BEGIN}{_METRE}\s+(?:[\p{{L}}]+\s+){{0,3}}(?:in|per|each|every|a)\s+(?:one|single|each|every|a)?\s*minute"), F.lit("m/min"))
-        .when(t.rlike(rf"{_BEGIN}{_METRE}\s+(?:[\p{{L}}]+\s+){{0,3}}(?:in|per|each|every|a)\s+(?:one|single|each|every|a)?\s*second"), F.lit("m/s"))
-        .when(t.rlike(rf"{_BEGIN}{_KM}\s+(?:[\p{{L}}]+\s+){{0,3}}(?:in|per|each|every|an)\s+(?:one|single|each|every|an)?\s*hour"), F.lit("km/h"))
-        .when(t.rlike(rf"{_BEGIN}{_MILE}\s+(?:[\p{{L}}]+\s+){{0,3}}(?:in|per|each|every|an)\s+(?:one|single|each|every|an)?\s*hour"), F.lit("mph"))
-        .when(t.rlike(rf"{_BEGIN}(?:statute miles|imperial)"), F.lit("mph"))
-        .when(t.rlike(rf"{_BEGIN}metric{_END}"), F.lit("km/h"))
-    )
+    between = r"\s+(?:[\p{L}]+\s+){0,3}(?:in|per|each|every|an?)\s+(?:(?:one|single|each|every|an?)\s+)?"
+    loose = F.lit(None).cast("string")
+    for unit, length, time in (("km/h", _KM, _HOUR), ("mph", _MILE, _HOUR), ("m/min", _METRE, _MIN), ("m/s", _METRE, _SEC)):
+        loose = F.coalesce(loose, F.when(t.rlike(f"{_BEGIN}{length}{between}{time}{_END}"), F.lit(unit)))
     return F.coalesce(unit_in(text), loose)
 
 

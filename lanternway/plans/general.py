@@ -10,7 +10,7 @@ from lanternway.operators.nearby import near_pairs, regions_of_points, usable_po
 from lanternway.operators.orphans import find_orphans, orphan_counts
 from lanternway.operators.snapshots import change_counts, snapshot_changes
 from lanternway.operators.unitdecode import decode_units
-from lanternway.runtime import table
+from lanternway.runtime import Scratch, table
 
 
 def current_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_counts(p3_found(spark, sf_dir))
 
 
-def p4_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stated speed with its unit: ref_table, record_id, number, unit, kmh_x100."""
+def speed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stated speed with what is known of its unit, as decode_units takes them."""
     none = F.lit(None).cast("string")
     ways = current_ways(spark, sf_dir).where("maxspeed is not null").select(
         F.lit("osm_ways").alias("ref_table"), F.col("id").alias("record_id"), F.concat_ws("/", F.lit("osm_ways"), "region_id").alias("device"),
@@ -63,11 +63,15 @@ def p4_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("road_records").alias("ref_table"), F.col("road_id").alias("record_id"), F.col("feed").alias("device"),
         F.col("surveyed_at").alias("at"), "maxspeed", "remark", "said",
     )
-    records = ways.unionByName(roads).select(
+    return ways.unionByName(roads).select(
         "ref_table", "record_id", "device", "at", speed_number(F.col("maxspeed")).alias("number"),
         unit_in(F.col("maxspeed")).alias("written"), unit_in(F.col("remark")).alias("noted"), "said",
     )
-    return decode_units(records).withColumn("kmh_x100", to_kmh_x100(F.col("number"), F.col("unit")))
+
+
+def p4_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stated speed with its unit: ref_table, record_id, number, unit, kmh_x100."""
+    return decode_units(speed_records(spark, sf_dir)).withColumn("kmh_x100", to_kmh_x100(F.col("number"), F.col("unit")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +82,18 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_speeds(spark, sf_dir).groupBy("ref_table", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("kmh_x100").alias("least"), F.max("kmh_x100").alias("most"))
 
 
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the decoder does where it is told less: the notes of the feeds are withheld, and per unit of the bare figures of
+    feeds it is counted how many records it still gives that unit."""
+    records = Scratch(spark, "speeds").keep(speed_records(spark, sf_dir))
+    feeds = F.col("ref_table") == "road_records"
+    blind = decode_units(records.withColumn("said", F.when(~feeds, F.col("said"))))
+    bare = records.where(feeds & F.col("written").isNull() & F.col("noted").isNull() & F.col("said").isNotNull())
+    met = bare.select("ref_table", "record_id", "number", "said").distinct().join(blind, ["ref_table", "record_id", "number"])
+    right = F.count_if(F.col("unit") == F.col("said"))
+    return met.groupBy(F.col("said").alias("unit")).agg(F.count(F.lit(1)).alias("n_records"), right.alias("n_right"), F.round(right / F.count(F.lit(1)), 4).alias("recall"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = current_nodes(spark, sf_dir).where("visible").select("id", "lat", "lon")
     near = near_pairs(nodes.where(usable_position(F.col("lat"), F.col("lon"))), 4.0)
@@ -88,4 +104,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_report, p4_found, p4_report, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_report, p4_found, p4_report, p4_recall, p5_found)}

@@ -35,30 +35,62 @@ def test_conversion_rounds_half_up(spark):
     assert got == [1127, 45, 4500, 4074]
 
 
-def brute_viterbi(x, first, last):
+def brute_units(model, x, written, noted, said, first):
+    """The cheapest of all ways to give every record a state."""
     import itertools
 
+    cost, unit, level = model.emissions(x, written, noted, said)
     best = None
-    for path in itertools.product(range(len(H.UNITS)), repeat=len(x)):
-        cost, before = 0.0, first
+    for path in itertools.product(range(H.STATES), repeat=len(x)):
+        total = 0.0
         for t, u in enumerate(path):
-            level = x[t] + H.LOG_FACTOR[u]
-            cost += (level - H.LEVEL) ** 2 / (2 * H.LEVEL_SPREAD**2)
-            if before is not None:
-                cost += (level - before[1] - H.LOG_FACTOR[before[0]]) ** 2 / (2 * H.SPREAD**2) + H.SWITCH * (u != before[0])
-            before = (u, x[t])
-        if last is not None:
-            cost += (last[1] + H.LOG_FACTOR[last[0]] - before[1] - H.LOG_FACTOR[before[0]]) ** 2 / (2 * H.SPREAD**2) + H.SWITCH * (before[0] != last[0])
-        if best is None or cost < best[0] - 1e-12:
-            best = (cost, path)
-    return best[1]
+            total += cost[t, u]
+            if t and not first[t]:
+                jump = level[t, u] - level[t - 1, path[t - 1]]
+                total += min(jump**2 / (2 * model.spread**2), H.MOST_JUMP) + model.switch * (u != path[t - 1])
+        if best is None or total < best[0] - 1e-9:
+            best = (total, path)
+    return best[0], [int(unit[t, u]) for t, u in enumerate(best[1])]
 
 
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
-    for first, last in ((None, None), ((1, 3.0), None), ((3, 2.0), (3, 2.3))):
-        x = rng.normal(3, 1, 4)
-        assert tuple(H.viterbi(x, first, last)) == brute_viterbi(x, first, last)
+    for pinned in ([-1, -1, -1, -1], [1, -1, -1, 3], [-1, 2, -1, -1]):
+        for cut in (0, 2):
+            x = rng.normal(3, 1, 4)
+            none = np.full(4, -1)
+            first = np.arange(4) == cut
+            model = H.Model(switch=2.0)
+            assert H.viterbi(model, x, none, np.array(pinned), none, first).tolist() == brute_units(model, x, none, np.array(pinned), none, first)[1]
+
+
+def test_long_sequences_are_decoded_as_in_one_pass():
+    rng = np.random.default_rng(5)
+    n = 500
+    x, none = rng.normal(3, 1, n), np.full(n, -1)
+    noted = np.where(rng.random(n) < 0.1, rng.integers(0, H.STATES, n), -1)
+    first = rng.random(n) < 0.02
+    first[0] = True
+    model = H.Model(switch=3.0)
+    cost, unit, level = model.emissions(x, none, noted, none)
+    at, back = cost[0], []
+    for t in range(1, n):
+        way = at[:, None] + model.step(level[t - 1][None], level[t][None], cost[t][None], first[t : t + 1])[0]
+        back.append(way.argmin(axis=0))
+        at = way.min(axis=0)
+    states = [int(at.argmin())]
+    for b in reversed(back):
+        states.append(int(b[states[-1]]))
+    plain = unit[np.arange(n), states[::-1]]
+    assert H.viterbi(model, x, none, noted, none, first).tolist() == plain.tolist()
+
+
+UNIT_ROWS = "ref_table string, record_id long, device string, at timestamp, number string, written string, noted string, said string"
+
+
+def decoded(spark, rows, model=None):
+    df = spark.createDataFrame(rows, UNIT_ROWS)
+    return {r["record_id"]: r["unit"] for r in H.decode_units(df.withColumn("number", df.number.cast("decimal(18,6)")), model).collect()}
 
 
 def test_switch_is_decoded_from_the_jump(spark):
@@ -66,8 +98,43 @@ def test_switch_is_decoded_from_the_jump(spark):
     values = [50, 55, 48, 52, 14, 15, 13.5, 14.2, 14.8, 13.9] * 2
     rows = [("road_records", i, "probe", t + timedelta(minutes=i), str(v), None, "km/h" if i == 0 else None, None) for i, v in enumerate(values[:10])]
     rows += [("road_records", 100, None, None, "30", "mph", None, "km/h"), ("road_records", 101, "x", t, "0", "mph", None, None), ("road_records", 102, "x", t, None, "mph", None, None)]
-    df = spark.createDataFrame(rows, "ref_table string, record_id long, device string, at timestamp, number string, written string, noted string, said string")
-    got = {r["record_id"]: r["unit"] for r in H.decode_units(df.withColumn("number", df.number.cast("decimal(18,6)"))).collect()}
+    got = decoded(spark, rows, H.Model(switch=4.0))
     assert got[100] == "mph" and 101 not in got and 102 not in got
     assert [got[i] for i in range(4)] == ["km/h"] * 4
     assert set(got[i] for i in range(4, 10)) == {"m/s"}
+
+
+def test_a_device_stays_one_chain_over_midnight(spark):
+    t = datetime(2026, 5, 1, 23, 51)
+    rows = [("road_records", i, "x", t + timedelta(minutes=i), "12", None, "km/h" if i == 0 else None, None) for i in range(16)]
+    got = decoded(spark, rows)
+    assert set(got.values()) == {"km/h"} and len(got) == 16
+
+
+def test_statements_win_whatever_the_figures_say(spark):
+    """Written before noted before said, at any value; and the parts a chain is cut into make no difference."""
+    rng = np.random.default_rng(3)
+    t = datetime(2026, 5, 1)
+    rows, want = [], {}
+    for i in range(600):
+        said, noted, written = (H.UNITS[rng.integers(8)] if rng.random() < p else None for p in (1.0, 0.3, 0.3))
+        rows.append(("road_records", i, "hot" if i % 3 else "d%d" % (i % 7), t + timedelta(hours=i), "%.3f" % float(np.exp(rng.normal(3, 3))), written, noted, said))
+        want[i] = written or noted or said
+    assert decoded(spark, rows) == want
+
+
+def test_parts_of_a_chain_agree_with_one_pass(spark):
+    rng = np.random.default_rng(4)
+    t = datetime(2026, 5, 1)
+    rows = [("road_records", i, "hot", t + timedelta(hours=i), "%.2f" % float(np.exp(rng.normal(2.6 if i > 200 else 3.9, 0.2))), None, None, None) for i in range(400)]
+    model = H.Model(switch=5.0)
+    x = np.log([float(r[4]) for r in rows])
+    none = np.full(len(rows), -1)
+    first = np.arange(len(rows)) == 0
+    want = [H.UNITS[k] for k in H.viterbi(model, x, none, none, none, first)]
+    got = decoded(spark, rows, model)
+    assert [got[i] for i in range(400)] == want and len(set(want)) > 1
+
+
+def test_no_records(spark):
+    assert decoded(spark, []) == {}
