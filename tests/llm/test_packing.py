@@ -71,6 +71,65 @@ def test_patterns_use_every_item_once():
         assert [used[s] for s in range(1, cap + 1)] == counts[1:].tolist()
 
 
+def one_by_one(counts):
+    """Best-two-fit item by item, with plain searches."""
+    items = sorted((s for s, n in enumerate(counts) if s for _ in range(n)), reverse=True)
+    cap, bins = len(counts) - 1, []
+    while items:
+        held, gap = [], cap
+        while (fits := [s for s in items if s <= gap]):
+            items.remove(fits[0])
+            held.append(fits[0])
+            gap -= fits[0]
+        while gap and len(held) > 1:
+            small = min(held)
+            pairs = [(items[i] + items[j], items[i], items[j]) for i in range(len(items)) for j in range(i + 1, len(items)) if items[i] + items[j] <= gap + small]
+            best = max(pairs, default=(0, 0, 0))
+            if best[0] <= small:
+                break
+            held.remove(small)
+            for s in best[1:]:
+                items.remove(s)
+                held.append(s)
+            items = sorted([*items, small], reverse=True)
+            gap += small - best[0]
+        bins.append(tuple(sorted(held, reverse=True)))
+    return Counter(bins)
+
+
+def test_patterns_are_what_packing_item_by_item_gives():
+    rng = np.random.default_rng(7)
+    for cap in (9, 23, 50):
+        for _ in range(12):
+            counts = rng.integers(0, 5, cap + 1) * (rng.random(cap + 1) < 0.5)
+            got = Counter()
+            for pattern, n in P.best_two_fit(counts):
+                got[tuple(s for s, m in pattern.items() for _ in range(m))] += n
+            assert got == one_by_one(counts.tolist())
+
+
+def test_sizes_are_found_in_the_tree_of_bits():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 2, 5000)
+    index, left = P.SizeIndex(counts), counts.copy()
+    left[0] = 0
+    for _ in range(3000):
+        s, limit = int(rng.integers(1, 5000)), int(rng.integers(0, 5000))
+        if left[s]:
+            index.take(s)
+            left[s] -= 1
+        elif rng.random() < 0.3:
+            index.give(s)
+            left[s] += 1
+        assert index.largest(limit) == int(np.flatnonzero(left[: limit + 1] > 0)[-1] if (left[: limit + 1] > 0).any() else 0)
+
+
+def test_many_containers_and_large_sizes(spark):
+    rng = random.Random(4)
+    check(spark, [rng.randrange(0, 30) for _ in range(60)], [(f"c{k:04d}", 24) for k in range(1200)])
+    check(spark, [rng.randrange(1, 1 << 22) for _ in range(80)] + [(1 << 21) + 5] * 3, [("a", 1 << 21), ("b", 3 << 20), ("c", 64)][:2])
+
+
 def test_token_counts_are_of_whole_texts(spark):
     pytest.importorskip("tiktoken")
     texts = ["", None, "Hello world", "x" * 5000, "привет мир " * 500]
