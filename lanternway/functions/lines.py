@@ -40,6 +40,44 @@ def decimate(points: Column, about: int = 10) -> Column:
     return F.filter(points, lambda p, i: i % step == 0)
 
 
+def turns(points: Column, lengths: Column) -> Column:
+    """Array of structs (along, what): the start, turns worth saying, the arrival.
+
+    Corners are found from the cross and dot product of the two steps that meet there. Of those sharp enough and not
+    too near the end each is kept that lies far enough behind the one kept before.
+    """
+    total = F.element_at(lengths, -1)
+
+    def corner(i: Column) -> Column:
+        a, b, c = (F.element_at(points, i + k) for k in (0, 1, 2))
+        shrink = F.cos(F.radians(b["lat"]))
+        x0, y0, x1, y1 = (b["lon"] - a["lon"]) * shrink, b["lat"] - a["lat"], (c["lon"] - b["lon"]) * shrink, c["lat"] - b["lat"]
+        return F.struct(F.element_at(lengths, i + 1).alias("along"), F.degrees(F.atan2(x1 * y0 - x0 * y1, x0 * x1 + y0 * y1)).alias("angle"))
+
+    inner = F.when(F.size(points) > 2, F.sequence(F.lit(1), F.size(points) - 2)).otherwise(F.expr("cast(array() as array<int>)"))
+    sharp = F.filter(F.transform(inner, corner), lambda c: (F.abs(c["angle"]) >= TURN_DEGREES) & (total - c["along"] > END_GAP_M))
+    none = F.expr("cast(array() as array<struct<along:double,angle:double>>)")
+    kept = F.aggregate(
+        sharp, F.struct(F.lit(0.0).alias("last"), none.alias("kept")),
+        lambda acc, c: F.when(c["along"] - acc["last"] > TURN_GAP_M, F.struct(c["along"].alias("last"), F.concat(acc["kept"], F.array(c)).alias("kept"))).otherwise(acc),
+        lambda acc: acc["kept"],
+    )
+    said = lambda along, what: F.struct(along.alias("along"), what.alias("what"))
+    way = lambda c: F.when(F.abs(c["angle"]) > BACK_DEGREES, "back").when(c["angle"] > 0, "right").otherwise("left")
+    return F.concat(F.array(said(F.lit(0.0), F.lit("start"))), F.transform(kept, lambda c: said(c["along"], way(c))), F.array(said(total, F.lit("arrive"))))
+
+
+def joined(points: Column, gap: float = 0.01) -> Column:
+    """The points without those at most ``gap`` metres from the one kept before."""
+    empty = F.expr("cast(array() as array<struct<lat:double,lon:double>>)")
+
+    def add(kept: Column, p: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        return F.when(last.isNull() | (haversine_m(last["lat"], last["lon"], p["lat"], p["lon"]) > gap), F.concat(kept, F.array(p))).otherwise(kept)
+
+    return F.aggregate(points, empty, add)
+
+
 # ---- the same on arrays, for per-request code -----------------------------------------------------------------
 
 
@@ -69,20 +107,3 @@ def project_on(point: tuple[float, float], points: list[tuple[float, float]], le
     d = [metres_between(point, tuple(p)) for p in at]
     k = int(np.argmin(d))
     return d[k], lengths[k] + float(t[k]) * (lengths[k + 1] - lengths[k]), k, (float(at[k][0]), float(at[k][1]))
-
-
-def turns_of(points: list[tuple[float, float]]) -> list[tuple[float, str]]:
-    """(metres along, instruction) of a route: start, each sharp turn far enough from the last one and the end, arrival."""
-    lengths = lengths_of(points)
-    total = lengths[-1]
-    out = [(0.0, "start")]
-    for i in range(1, len(points) - 1):
-        a, b, c = points[i - 1 : i + 2]
-        cos = math.cos(math.radians(b[0]))
-        into = math.atan2((b[1] - a[1]) * cos, b[0] - a[0])
-        away = math.atan2((c[1] - b[1]) * cos, c[0] - b[0])
-        angle = (math.degrees(away - into) + 540) % 360 - 180
-        if abs(angle) >= TURN_DEGREES and lengths[i] - out[-1][0] > TURN_GAP_M and total - lengths[i] > END_GAP_M:
-            out.append((lengths[i], "back" if abs(angle) > BACK_DEGREES else "right" if angle > 0 else "left"))
-    out.append((total, "arrive"))
-    return out

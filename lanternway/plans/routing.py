@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternway.functions.lines import turns_of
+from lanternway.functions.lines import turns
 from lanternway.operators import search, snap
 from lanternway.operators.nearby import usable_position
 from lanternway.plans.network import _graph_edges, _owned
@@ -77,17 +77,9 @@ def plan_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns along every edge's own line; the de-bounce depends on the last turn given out, hence a fold."""
-    roads = _roads(spark, sf_dir).select("edge_id", "points")
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = [(e, k, round(along, 2), what) for e, line in pdf.itertuples(index=False) for k, (along, what) in enumerate(turns_of([(p["lat"], p["lon"]) for p in line]))]
-            yield pd.DataFrame(rows, columns=["edge_id", "step", "along", "instruction"])
-
-    return roads.mapInPandas(run, "edge_id long, step int, along double, instruction string")
+    """Turns along every edge's own line."""
+    said = _roads(spark, sf_dir).select("edge_id", F.posexplode(turns(F.col("points"), F.col("lengths"))).alias("step", "t"))
+    return said.select("edge_id", "step", F.round("t.along", 2).alias("along"), F.col("t.what").alias("instruction"))
 
 
 QUERIES = {f.__name__: f for f in (nearest_exit, hazard_cost, shortest_cost, shortest_path_check, snap_points, plan_walk, turn_list)}

@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lanternway.operators.guidance import RESULT, Progress, Route, fold, prepared
+from lanternway.operators.guidance import RESULT, Progress, Route, fold, followable, prepared
 from lanternway.runtime import Scratch
 
 STATE = "along double, arrival_since double, arrived boolean, last_ts double"
@@ -22,7 +21,7 @@ def guide_stream(fixes: DataFrame, routes: DataFrame) -> DataFrame:
     older than one its session has already taken, as progress has moved on. A session's state leaves
     with an hour of event-time silence.
     """
-    lines = routes.where(F.size("points") >= 2).select("session_id", "points")
+    lines = followable(routes)
     live = fixes.withWatermark("ts", "20 seconds")
     ok = prepared(live.select("session_id", "fix_id", "lat", "lon", "accuracy", "ts", "processed_at"), "ts").join(lines, "session_id")
     columns = [c.split()[0] for c in RESULT.split(", ")]
@@ -36,7 +35,7 @@ def guide_stream(fixes: DataFrame, routes: DataFrame) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["ts_s", "fix_id"])
         rows = rows[rows["ts_s"] >= last]
         if len(rows):
-            route = Route([(p["lat"], p["lon"]) for p in rows["points"].iloc[0]])
+            route = Route.of(rows.iloc[0])
             out = fold(int(key[0]), rows, route, kept)
             last = float(rows["ts_s"].iloc[-1])
             yield pd.DataFrame(out, columns=columns)

@@ -4,7 +4,9 @@ from datetime import datetime, timedelta
 import pandas as pd
 import pytest
 
-from lanternway.functions.lines import lengths_of, metres_between, project_on, turns_of
+from pyspark.sql import functions as F
+
+from lanternway.functions.lines import cumulative_metres, lengths_of, metres_between, project_on, turns
 from lanternway.operators import guidance as G
 from lanternway.operators import snap
 from lanternway.runtime import Scratch
@@ -126,9 +128,26 @@ def test_walks(spark):
     assert got[8].cost == pytest.approx(15000, rel=1e-3)
 
 
-def test_turns():
+def test_turns(spark):
     line = [(0.0, 0.0), (0.001, 0.0), (0.001, 0.001), (0.0011, 0.001), (0.0011, 0.0002), (0.0012, 0.0002)]
-    assert [w for _, w in turns_of(line)] == ["start", "right", "left", "arrive"]
+    rows = [(1, [{"lat": a, "lon": b} for a, b in line]), (2, [{"lat": 0.0, "lon": 0.0}, {"lat": 0.0, "lon": 0.001}]), (3, [{"lat": 0.0, "lon": x} for x in (0.0, 0.001, 0.0)])]
+    df = spark.createDataFrame(rows, "k int, points array<struct<lat:double,lon:double>>").withColumn("lengths", cumulative_metres(F.col("points")))
+    got = {r.k: r.t for r in df.select("k", turns(F.col("points"), F.col("lengths")).alias("t")).collect()}
+    assert [t["what"] for t in got[1]] == ["start", "right", "left", "arrive"]
+    assert [t["what"] for t in got[2]] == ["start", "arrive"] and [t["what"] for t in got[3]] == ["start", "back", "arrive"]
+    assert got[1][-1]["along"] == pytest.approx(lengths_of(line)[-1])
+
+
+def test_overlapping_candidates(spark):
+    """A shared junction within reach settles a point, two ends of a path of a few centimetres are one node, and a hub of too many paths is an overlap."""
+    nodes = [(1, 0.0, 0.001), (2, 0.0, 0.002), (3, 0.001, 0.001), (4, 0.0, 0.0010000001), (5, -0.001, 0.0010000001), (50, 5.0, 5.0)] + [(60 + k, 5.0 + 0.001 * k, 5.001) for k in range(1, 27)]
+    edges = [(1, 1, 2, 10, []), (2, 2, 1, 10, []), (3, 1, 3, 10, []), (6, 1, 4, 1, []), (7, 4, 5, 10, [])] + [(60 + k, 50, 60 + k, 10, []) for k in range(1, 27)]
+    roads = network(spark, edges, nodes)
+    points = spark.createDataFrame([(1, 0.00000001, 0.00100001), (2, -0.000000001, 0.00099), (3, 5.0, 4.99999)], "point_id long, lat double, lon double")
+    got = snap.settle(points, roads, Scratch(spark, "t").keep(snap.nearest_paths(points, roads))).collect()
+    by = {p: [r for r in got if r.point_id == p] for p in (1, 2, 3)}
+    assert {r.status for r in by[1]} == {"ok"} and {(round(r.lat, 6), round(r.lon, 6)) for r in by[1]} == {(0.0, 0.001)} and len(by[1]) == 5
+    assert {r.status for r in by[2]} == {"ok"} and [r.status for r in by[3]] == ["overlap"]
 
 
 def test_guidance_batch_and_stream_agree(spark):
