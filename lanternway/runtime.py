@@ -35,13 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster names one, else one made here."""
+    """The folder all executors share: spark.checkpoint.dir where the cluster names one, else the context's own.
+
+    One is made here only where driver and executors are one machine; on a cluster a missing setting is an error,
+    as what executors wrote to their own disks could not be read again.
+    """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     made = sc.getCheckpointDir()
     if made is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lanternway-"))
         made = sc.getCheckpointDir()
     return made.rstrip("/")
@@ -59,8 +65,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Written intermediate tables in the shared folder.
 
-    Writing cuts the lineage and survives the loss of an executor, and the footers give later
-    plans true sizes. ``drop`` deletes a table no longer read; the rest go when the driver exits.
+    Writing cuts the lineage and survives the loss of an executor, and the footers give later plans true sizes.
+    ``drop`` deletes a table no longer read; a table goes at the latest when the driver exits. A result may still
+    read from tables after the operator has returned, so they cannot go before that.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -76,7 +83,7 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
+    def drop(self, df: DataFrame | None) -> None:
         if path := getattr(df, "_scratch_path", None):
             _delete(self.spark, path)
 
@@ -110,12 +117,13 @@ def salts_of(key: Column, hot: list, salts: int = SALTS) -> Column:
 CROWD_ROWS = 200_000
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner", rows: int | None = None) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner", rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Equi-join of ``many`` with ``one`` (at most one row a key) on ``key``, hot keys spread over salts.
 
-    rows: how many rows ``many`` has, where that is known.
+    rows: how many rows ``many`` has, where that is known. hot: its hot keys, where they are known.
     """
-    hot = hot_keys(many, key) if rows is None or rows > CROWD_ROWS else []
+    if hot is None:
+        hot = hot_keys(many, key) if rows is None or rows > CROWD_ROWS else []
     if not hot:
         return many.join(one, key, how)
     left = many.withColumn("_salt", salt_of(F.col(key), hot, spread))
