@@ -1,10 +1,11 @@
 """Consolidating pairwise matches into groups by low-diameter decomposition.
 
-Each level: every vertex draws an exponential shift; clusters grow from the shifted starts, so that a vertex
-joins the centre c that maximises shift(c) - distance(c, v); clusters become the vertices of the next level,
-which has only the edges between clusters. When no edge is left the assignments are composed from the top
-down. Every step is a join or an aggregation with map-side combining; no component, adjacency list or link
-list is ever gathered in a task or on the driver.
+Each level: every vertex draws an exponential shift, and clusters grow from starts that are the earlier the larger
+the shift, until no vertex hears of a better one: a vertex joins the centre c that maximises shift(c) - distance(c, v).
+Shifts end at REACH, which bounds the radius of clusters; the edges cut fall by a constant factor a level all the same.
+Clusters become the vertices of the next level, which has only the edges between clusters. When no edge is left the
+assignments are composed from the top down. Every step is a join or an aggregation with map-side combining; no
+component, adjacency list or link list is ever gathered in a task or on the driver.
 """
 
 from __future__ import annotations
@@ -12,33 +13,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternway.runtime import Scratch, salted_join
+from lanternway.runtime import CROWD_ROWS, Scratch, hot_keys, salted_join
 
-#: Rate of the shifts and rounds of growth a level; mean shift 1 / RATE, so few clusters would grow further.
-RATE = 0.45
-GROWTH = 2
-#: Guard against a fault in the loop: far more levels than any input needs.
-MOST_LEVELS = 200
+#: Rate of the shifts, about the share of edges cut a level, and the most a shift may be: no cluster reaches that far, so
+#: growth is complete after one round less.
+RATE, REACH = 0.3, 6
 
 
 def _shift(vertex: Column, level: int) -> Column:
-    """An exponential variate that depends on vertex and level only, so lost tasks repeat it."""
+    """An exponential variate, at most REACH, that depends on vertex and level only, so lost tasks repeat it."""
     u = F.shiftrightunsigned(F.xxhash64(vertex, F.lit(level), F.lit("shift")), 11).cast("double") / float(1 << 53)
-    return -F.log(F.lit(1.0) - u) / RATE
+    return F.least(-F.log(F.lit(1.0) - u) / RATE, F.lit(float(REACH)))
 
 
-def _grow(links: DataFrame, level: int) -> DataFrame:
-    """(v, c): the centre each vertex of links (a, b) joins. Labels travel along links only, so v and c are
-    always connected, and a growth that ends early leaves smaller clusters, never wrong ones."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    own = F.struct(_shift(F.col("v"), level).alias("key"), F.col("v").alias("c"))
-    heard = F.struct((_shift(F.col("a"), level) - 1).alias("key"), F.col("a").alias("c"))
-    label = both.groupBy(F.col("b").alias("v")).agg(F.max(heard).alias("best")).select("v", F.greatest("best", own).alias("best"))
-    for _ in range(GROWTH - 1):
-        told = both.join(label.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(
-            F.max(F.struct((F.col("best.key") - 1).alias("key"), F.col("best.c").alias("c"))).alias("heard")
-        )
-        label = label.join(told, "v").select("v", F.greatest("best", "heard").alias("best"))
+def _grow(links: DataFrame, level: int, hot: list) -> DataFrame:
+    """(v, c): the centre each vertex of links (a, b) joins: of those whose shift less the distance is largest the greatest id.
+
+    A centre is heard at a distance below its shift only, so REACH - 1 rounds find the best of every vertex. A label travels
+    along links only, so v and c are always connected. Every vertex also hears itself, at distance 0.
+    """
+    vertices = links.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    here, there = F.lit(0.0).alias("far"), F.lit(1.0).alias("far")
+    heard_from = links.select("a", "b", there).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), there)).unionByName(vertices.select("a", F.col("a").alias("b"), here))
+    label = heard_from.groupBy(F.col("b").alias("v")).agg(F.max(F.struct((_shift(F.col("a"), level) - F.col("far")).alias("key"), F.col("a").alias("c"))).alias("best"))
+    for _ in range(REACH - 2):
+        told = salted_join(heard_from, label.withColumnRenamed("v", "a"), "a", F.col("b"), hot=hot)
+        label = told.groupBy(F.col("b").alias("v")).agg(F.max(F.struct((F.col("best.key") - F.col("far")).alias("key"), F.col("best.c").alias("c"))).alias("best"))
     return label.select("v", F.col("best.c").alias("c"))
 
 
@@ -54,31 +54,32 @@ def connected_groups(edges: DataFrame, source: str = "source", target: str = "ta
     given = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull())
     pairs = scratch.keep(given.select(F.least(source, target).cast("long").alias("a"), F.greatest(source, target).cast("long").alias("b")).distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    links, levels = pairs.where("a <> b"), []
-    while not links.isEmpty():
-        if len(levels) >= MOST_LEVELS:
-            raise RuntimeError("clusters do not merge")
-        grown = scratch.keep(_grow(links, len(levels)))
+    links, levels, sizes = pairs.where("a <> b"), [], []
+    while n := links.count():
+        # A hub's many links are salted wherever they are joined; each label stands once.
+        hot = hot_keys(links.select(F.explode(F.array("a", "b")).alias("v")), "v") if n > CROWD_ROWS else []
+        grown = scratch.keep(_grow(links, len(levels), hot))
         levels.append(grown)
-        # The end with a hub's many links is salted; each label stands once.
-        n = links.count()
-        one = salted_join(links, grown.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", F.col("b"), rows=n)
-        two = salted_join(one, grown.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", F.col("a"), rows=n)
+        sizes.append(n)
+        one = salted_join(links, grown.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a", F.col("b"), hot=hot)
+        two = salted_join(one, grown.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b", F.col("a"), hot=hot)
         rest = two.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
         older, links = links, scratch.keep(rest)
         if len(levels) > 1:
             scratch.drop(older)
     top = None
-    for grown in reversed(levels):
+    for grown, n in zip(reversed(levels), reversed(sizes)):
         if top is None:
             top = grown.withColumnRenamed("c", "root")
         else:
             up = top.withColumnRenamed("v", "c")
-            top = scratch.keep(salted_join(grown, up, "c", F.col("v"), "left", rows=grown.count()).select("v", F.coalesce("root", "c").alias("root")))
+            below, top = top, scratch.keep(salted_join(grown, up, "c", F.col("v"), "left", rows=2 * n).select("v", F.coalesce("root", "c").alias("root")))
+            scratch.drop(below)
+            scratch.drop(grown)
     if top is None:
         return nodes.select(F.col("v").alias("node_id"), F.col("v").alias("group_id"))
     least = top.groupBy("root").agg(F.min("v").alias("group_id"))
-    grouped = salted_join(top, least, "root", F.col("v"), rows=top.count()).select("v", "group_id")
+    grouped = salted_join(top, least, "root", F.col("v"), rows=2 * sizes[0]).select("v", "group_id")
     return nodes.join(grouped, "v", "left").select(F.col("v").alias("node_id"), F.coalesce("group_id", "v").alias("group_id"))
 
 
