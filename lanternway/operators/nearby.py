@@ -5,12 +5,16 @@ antimeridian or the poles). Cubes that cannot hold a partner never meet; each ta
 few points just outside it and runs a dual-tree descent there. Crowded cubes are cut into smaller ones, and
 what cannot be cut into blocks that meet pairwise.
 
-Inside: regions are decomposed into quadtree cells, certain ones inside and uncertain ones on the border;
-points meet cells by an equi-join, certain cells accept wholesale, uncertain ones are refined exactly.
+Inside: the regions' boxes make one tree, which every task gets as long as it is of a checked size, and each batch of
+points makes another; pairs of nodes are discarded, accepted with all their points and regions, or opened. More regions
+than that are cut into quadtree cells, which points meet by an equi-join: cells wholly inside a region
+accept, those on its border are refined.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +28,8 @@ CUBES = (4096.0, 512.0, 64.0)
 #: Points a cube may hold before it is cut further.
 CROWD = 50_000
 LEAF = 16
+#: Pairs gathered before they leave a task.
+GIVEN_AT_ONCE = 200_000
 
 
 def usable_position(lat: Column, lon: Column) -> Column:
@@ -69,7 +75,7 @@ class BoxTree:
                 left.append(-1)
         self.order = order
         self.begin, self.end, self.left = (np.array(x, np.int64) for x in (begin, end, left))
-        self.low, self.high = np.array(low).reshape(-1, 3), np.array(high).reshape(-1, 3)
+        self.low, self.high = np.array(low).reshape(-1, xyz.shape[1]), np.array(high).reshape(-1, xyz.shape[1])
 
 
 def dual_tree_pairs(a: BoxTree, b: BoxTree, reach: float):
@@ -184,14 +190,14 @@ def near_pairs(points: DataFrame, metres: float, crowd: int = CROWD) -> DataFram
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda g: F.struct(F.least(g, F.col("h")).alias("g"), F.greatest(g, F.col("h")).alias("h")))
     tasks = tasks.withColumn("h", h).withColumn("meet", F.explode(meet)).select("level", "cube", "meet", "h", "own", "id", "lat", "lon")
 
-    def join_cube(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join_cube(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The pairs of one task, a chunk at a time: nothing that grows with their number is held."""
         ids, lat, lon, own_ = (pdf[c].to_numpy() for c in ("id", "lat", "lon", "own"))
         meet_, home = pdf["meet"].iloc[0], pdf["h"].to_numpy()
         left, right = (np.flatnonzero(home == meet_[x]) for x in ("g", "h"))
         xyz_ = chord_space(lat, lon)
         ta = BoxTree(xyz_[left])
         tb = ta if meet_["g"] == meet_["h"] else BoxTree(xyz_[right])
-        found = []
         for i, j, sure in dual_tree_pairs(ta, tb, reach):
             i, j = left[i], right[j]
             keep = ids[i] != ids[j]
@@ -205,9 +211,8 @@ def near_pairs(points: DataFrame, metres: float, crowd: int = CROWD) -> DataFram
             if not sure:
                 ok = haversine(lat[i], lon[i], lat[j], lon[j]) <= metres
                 i, j = i[ok], j[ok]
-            found.append((ids[i], ids[j]))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"left_id": a, "right_id": b})
+            if len(i):
+                yield pd.DataFrame({"left_id": ids[i], "right_id": ids[j]})
 
     # Calm cubes are many and small: a task takes a sorted run of them instead of a call to Python for each.
     def run(batches):
@@ -230,7 +235,15 @@ def near_pairs(points: DataFrame, metres: float, crowd: int = CROWD) -> DataFram
     def whole(pdf):
         code = pdf["task"].to_numpy()
         starts = np.r_[0, np.flatnonzero(code[1:] != code[:-1]) + 1, len(code)]
-        outs = [join_cube(pdf.iloc[s:e]) for s, e in zip(starts[:-1], starts[1:]) if e - s > 1]
+        outs, n = [], 0
+        for s, e in zip(starts[:-1], starts[1:]):
+            if e - s > 1:
+                for out in join_cube(pdf.iloc[s:e]):
+                    outs.append(out)
+                    n += len(out)
+                    if n > GIVEN_AT_ONCE:
+                        yield pd.concat(outs, ignore_index=True)
+                        outs, n = [], 0
         if outs:
             yield pd.concat(outs, ignore_index=True)
 
@@ -277,6 +290,47 @@ def region_cells(regions: DataFrame) -> DataFrame:
     return cut.select("level", "i", "j", "region_no", "w", "s", "e", "n", certain.alias("certain"))
 
 
+class RegionTree:
+    """A tree of boxes (west, south, east, north): of each node the box around all its boxes and the one common to all."""
+
+    def __init__(self, boxes: np.ndarray):
+        centres = BoxTree((boxes[:, :2] + boxes[:, 2:]) / 2, leaf=4)
+        self.order, self.begin, self.end, self.left = centres.order, centres.begin, centres.end, centres.left
+        parts = [boxes[self.order[b:e]] for b, e in zip(self.begin, self.end)]
+        self.around = np.array([np.r_[x[:, :2].min(axis=0), x[:, 2:].max(axis=0)] for x in parts]).reshape(-1, 4)
+        self.common = np.array([np.r_[x[:, :2].max(axis=0), x[:, 2:].min(axis=0)] for x in parts]).reshape(-1, 4)
+
+
+def dual_tree_inside(points: BoxTree, regions: RegionTree):
+    """Chunks (i, k, certain) of points (lon, lat) and boxes that may contain them.
+
+    Pairs of nodes whose boxes do not meet are discarded; where the points' box lies within what all the regions have in
+    common they are accepted with all their members; the larger of an uncertain pair is opened, and pairs of leaves come
+    out as uncertain.
+    """
+    if not len(points.begin) or not len(regions.begin):
+        return
+    p, q = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while len(p):
+        low, high = points.low[p], points.high[p]
+        meet = (low <= regions.around[q, 2:]).all(axis=1) & (high >= regions.around[q, :2]).all(axis=1)
+        p, q, low, high = p[meet], q[meet], low[meet], high[meet]
+        certain = (low >= regions.common[q, :2]).all(axis=1) & (high <= regions.common[q, 2:]).all(axis=1)
+        ends = ~certain & (points.left[p] < 0) & (regions.left[q] < 0)
+        for chosen, sure in ((certain, True), (ends, False)):
+            yield from _expand(points, regions, p[chosen], q[chosen], sure)
+        rest = ~certain & ~ends
+        p, q = p[rest], q[rest]
+        open_p = (points.left[p] >= 0) & ((regions.left[q] < 0) | (points.end[p] - points.begin[p] >= regions.end[q] - regions.begin[q]))
+        pp, qp, pq, qq = p[open_p], q[open_p], p[~open_p], q[~open_p]
+        p = np.concatenate([points.left[pp], points.left[pp] + 1, pq, pq])
+        q = np.concatenate([qp, qp, regions.left[qq], regions.left[qq] + 1])
+
+
+#: Regions up to which their tree goes to every task: 32 bytes each, and as much again for its nodes.
+BROADCAST_REGIONS = 100_000
+
+
 def regions_of_points(points: DataFrame, regions: DataFrame) -> DataFrame:
     """Every region whose valid bounds contain a point, borders included.
 
@@ -286,19 +340,43 @@ def regions_of_points(points: DataFrame, regions: DataFrame) -> DataFrame:
     are skipped, repeated rows count once, empty tables give no rows.
     Result: distinct (point_id, region_no).
     """
-    cells = region_cells(regions)
-    levels = [r[0] for r in cells.select("level").distinct().collect()]  # at most FINEST + 1 numbers
     good = usable_position(F.col("lat"), F.col("lon"))
     centre = F.when(~good, geohash_centre(F.col("geohash")))
     p = (
         points.where("point_id is not null")
         .select("point_id", "lat", "lon", "geohash")
-        .distinct()
         .withColumn("_c", centre)
         .select("point_id", F.when(good, F.col("lat")).otherwise(F.col("_c.lat")).alias("lat"), F.when(good, F.col("lon")).otherwise(F.col("_c.lon")).alias("lon"))
         .where("lat is not null and lon is not null")
     )
-    at = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("level"), F.floor((F.col("lon") + 180) / (180.0 / 2**k)).alias("i"), F.floor((F.col("lat") + 90) / (180.0 / 2**k)).alias("j")) for k in levels]) if levels else F.expr("cast(array() as array<struct<level:int,i:bigint,j:bigint>>)"))
+    valid = regions.where(F.col("region_no").isNotNull() & valid_bounds(F.col("bounds"))).select("region_no", "bounds").distinct()
+    few = valid.limit(BROADCAST_REGIONS + 1).collect()
+    if len(few) > BROADCAST_REGIONS:
+        return _by_cells(p, valid).distinct()
+    if not few:
+        return p.select("point_id", F.lit(0).cast("long").alias("region_no")).limit(0)
+    numbers, boxes = np.array([r["region_no"] for r in few], np.int64), np.array([r["bounds"] for r in few], float)
+    shared = points.sparkSession.sparkContext.broadcast((numbers, boxes, RegionTree(boxes)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, boxes, tree = shared.value
+        for pdf in batches:
+            ids, at = pdf["point_id"].to_numpy(), pdf[["lon", "lat"]].to_numpy(float)
+            for i, k, sure in dual_tree_inside(BoxTree(at), tree):
+                if not sure:
+                    ok = (at[i] >= boxes[k, :2]).all(axis=1) & (at[i] <= boxes[k, 2:]).all(axis=1)
+                    i, k = i[ok], k[ok]
+                if len(i):
+                    yield pd.DataFrame({"point_id": ids[i], "region_no": numbers[k]})
+
+    return p.mapInPandas(run, "point_id long, region_no long").distinct()
+
+
+def _by_cells(p: DataFrame, regions: DataFrame) -> DataFrame:
+    """(point_id, region_no) for any number of regions, by an equi-join on quadtree cells. p: point_id, lat, lon."""
+    cells = region_cells(regions)
+    levels = [r[0] for r in cells.select("level").distinct().collect()]  # at most FINEST + 1 numbers
+    at = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("level"), F.floor((F.col("lon") + 180) / (180.0 / 2**k)).alias("i"), F.floor((F.col("lat") + 90) / (180.0 / 2**k)).alias("j")) for k in levels]))
     placed = p.withColumn("_at", at).select("point_id", "lat", "lon", "_at.level", "_at.i", "_at.j")
     inside = F.col("certain") | (F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
-    return placed.join(cells, ["level", "i", "j"]).where(inside).select("point_id", "region_no").distinct()
+    return placed.join(cells, ["level", "i", "j"]).where(inside).select("point_id", "region_no")

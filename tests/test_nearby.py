@@ -47,3 +47,29 @@ def test_regions(spark):
     got = [tuple(r) for r in N.regions_of_points(spark.createDataFrame(points, "point_id long, lat double, lon double, geohash string"), spark.createDataFrame(regions, "region_no long, bounds array<double>")).collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(1, 1), (1, 7), (2, 1), (2, 2), (2, 7), (4, 7), (6, 1), (6, 7), (7, 7)}
+
+
+def test_many_regions_and_points(spark, monkeypatch):
+    """Both ways, by the trees and by cells, against brute force; nested, equal, tiny and touching regions among them."""
+    rng = np.random.default_rng(9)
+    regions = []
+    for k in range(150):
+        w, s = float(rng.uniform(-180, 170)), float(rng.uniform(-90, 80))
+        size = float(10 ** rng.uniform(-3, 1))
+        regions.append((k, [w, s, min(180.0, w + size), min(90.0, s + size)]))
+    regions += [(200, regions[0][1]), (201, [-180.0, -90.0, 0.0, 0.0]), (202, [0.0, 0.0, 180.0, 90.0])]
+    points = [(i, float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180)), None) for i in range(300)]
+    points += [(1000 + i, r[1][1], r[1][0], None) for i, r in enumerate(regions)] + [(2000 + i, (r[1][1] + r[1][3]) / 2, r[1][2], None) for i, r in enumerate(regions)]
+    want = {(p, k) for p, lat, lon, _ in points for k, (w, s, e, n) in regions if w <= lon <= e and s <= lat <= n}
+    frames = spark.createDataFrame(points, "point_id long, lat double, lon double, geohash string"), spark.createDataFrame(regions, "region_no long, bounds array<double>")
+    for most in (N.BROADCAST_REGIONS, 10):
+        monkeypatch.setattr(N, "BROADCAST_REGIONS", most)
+        got = [tuple(r) for r in N.regions_of_points(*frames).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_crowd_leaves_in_pieces(monkeypatch):
+    """The pairs of coincident points come out chunk by chunk."""
+    tree = N.BoxTree(np.zeros((5000, 3)))
+    sizes = [len(i) for i, _, _ in N.dual_tree_pairs(tree, tree, 4.0)]
+    assert sum(sizes) == 5000 * 5000 and max(sizes) <= 1_010_000
