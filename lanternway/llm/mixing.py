@@ -2,32 +2,25 @@
 
 Each document draws an exponential variate divided by its quality weight (Efraimidis and Spirakis);
 the smaller, the earlier it is taken. A source first gives whole epochs, then the documents with the smallest
-keys up to the rest of its token budget. The prefix sums are two-staged: keys fall into many slices, the sums
-of slices (a bounded table) say which slice holds the boundary, and only that slice is sorted.
+keys up to the rest of its token budget. Where that prefix ends is found by narrowing: the sums of equal slices of a
+range of keys (a bounded table) say which slice holds the boundary, and that slice is the next range, until it holds
+so few documents that one task can sort them, whatever the weights and the size of the source.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternway.llm.tokens import DEFAULT_TOKENIZER, with_token_counts
 from lanternway.runtime import Scratch
 
-#: Slices of the key range a source; a slice of the largest source is what one task sorts.
-SLICES = 4096
+#: Slices a range of keys is cut into, and documents of one source that one task sorts.
+SLICES, BORDER = 1024, 200_000
 LEAST_WEIGHT = 0.01
 
 
-def default_quality(docs: DataFrame) -> Column:
-    """Weight in [LEAST_WEIGHT, 1]: fetched well, long enough to say something, of known language."""
-    ok = F.when(F.col("http_status") == 200, 1.0).otherwise(0.05)
-    long_enough = F.least(F.lit(1.0), F.coalesce(F.length("text"), F.lit(0)) / 400.0)
-    known = F.when(F.col("lang").isNull(), 0.8).otherwise(1.0)
-    return F.greatest(F.lit(LEAST_WEIGHT), ok * long_enough * known)
-
-
 def plan_budgets(available: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """Per target source: budget, whole epochs and the rest in tokens.
 
@@ -56,29 +49,25 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     one without target are not used; null and empty texts have no tokens and are used in whole epochs
     only; a source without documents or with share 0 gives nothing; the fractional part ends with the
     document that brings the sum nearest to the budget. Equal keys go by doc_id.
+    A null weight, or one under LEAST_WEIGHT, counts as that.
     """
     spark = sized.sparkSession
     available = sized.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.count(F.lit(1)).alias("n_documents"))
-    plan = Scratch(spark, "mixplan").keep(plan_budgets(available, targets, total_tokens))
-    small = F.broadcast(plan) if plan.count() <= 10_000 else plan
+    scratch = Scratch(spark, "mix")
+    plan = scratch.keep(plan_budgets(available, targets, total_tokens))
+    few = plan.count() <= 10_000
+    small = lambda df: F.broadcast(df) if few else df
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     key = -F.log(u) / F.greatest(F.coalesce("weight", F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
-    keyed = sized.join(small.select("source", "epochs", "rest_tokens"), "source").withColumn("key", key)
-    keyed = keyed.withColumn("slice", F.least(F.lit(SLICES - 1), F.floor((1 - F.exp(-F.col("key"))) * SLICES).cast("int")))
-    sums = keyed.where("rest_tokens > 0 and n_tokens > 0").groupBy("source", "slice").agg(F.sum("n_tokens").alias("t"), F.first("rest_tokens").alias("rest"))
-    upto = F.sum("t").over(W.partitionBy("source").orderBy("slice"))
-    cut = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("t"))
-    edge = cut.where("before < rest and upto >= rest").groupBy("source").agg(F.min(F.struct("slice", "before")).alias("e")).select("source", F.col("e.slice").alias("edge"), F.col("e.before").alias("before"))
-    edge = F.broadcast(edge) if plan.count() <= 10_000 else edge
-    located = keyed.join(edge, "source", "left")
+    keyed = sized.join(small(plan.select("source", "epochs", "rest_tokens")), "source").withColumn("key", key)
+    border = _border(keyed.where("rest_tokens > 0 and n_tokens > 0").select("source", "key", "n_tokens", "rest_tokens"), scratch, small)
+    located = keyed.join(small(border), "source", "left")
     takes = (F.col("rest_tokens") > 0) & (F.col("n_tokens") > 0)
-    sure = located.where(~(takes & F.coalesce(F.col("slice") == F.col("edge"), F.lit(False)))).withColumn(
-        "extra", F.when(takes & F.coalesce(F.col("slice") < F.col("edge"), F.lit(True)), 1).otherwise(0)
-    )
-    at_edge = located.where(takes & (F.col("slice") == F.col("edge")))
+    within = F.coalesce((F.col("key") >= F.col("low")) & (F.col("key") < F.col("high")), F.lit(False))
+    sure = located.where(~(takes & within)).withColumn("extra", F.when(takes & F.coalesce(F.col("key") < F.col("low"), F.lit(True)), 1).otherwise(0))
     w = W.partitionBy("source").orderBy("key", "doc_id")
     cum = F.col("before") + F.sum("n_tokens").over(w)
-    border = at_edge.withColumn("extra", (cum - F.col("n_tokens") / 2 <= F.col("rest_tokens")).cast("int"))
+    border = located.where(takes & within).withColumn("extra", (cum - F.col("n_tokens") / 2 <= F.col("rest_tokens")).cast("int"))
     uses = (F.col("epochs") + F.col("extra")).cast("int")
     chosen = sure.unionByName(border).select("doc_id", "source", "n_tokens", uses.alias("uses")).where("uses > 0")
     given = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.count(F.lit(1)).alias("used_documents"), F.max("uses").alias("most_uses"))
@@ -97,9 +86,35 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     return chosen, shares
 
 
+def _border(takers: DataFrame, scratch: Scratch, small) -> DataFrame:
+    """Per source the range of keys [low, high) in which its rest of tokens is reached, with the tokens before it: source, low, high, before.
+
+    takers: source, key, n_tokens, rest_tokens. A source that never reaches its rest has no row. Each round reads the table once and writes a row a source.
+    """
+    whole = takers.groupBy("source").agg(F.max("key").alias("most"), F.count(F.lit(1)).alias("n"))
+    ranges = scratch.keep(whole.select("source", F.lit(0.0).alias("low"), (F.col("most") * (1 + 1e-9) + 1e-300).alias("high"), F.lit(0).cast("long").alias("before"), "n", F.lit(False).alias("found")))
+    while True:
+        wide = (F.col("high") - F.col("low")) / SLICES
+        cut = takers.join(small(ranges.where(~F.col("found") | (F.col("n") > BORDER)).select("source", "low", "high", "before")), "source").where("key >= low and key < high")
+        k = F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor((F.col("key") - F.col("low")) / wide))).cast("int")
+        sums = cut.withColumn("k", k).groupBy("source", "k").agg(
+            F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last"),
+            F.first("rest_tokens").alias("rest"), F.first("before").alias("before"), F.first("high").alias("end"),
+        )
+        w = W.partitionBy("source").orderBy("k")
+        sums = sums.withColumn("upto", F.col("before") + F.sum("t").over(w)).withColumn("next", F.coalesce(F.lead("first").over(w), "end"))
+        hit = sums.where("upto >= rest and upto - t < rest")
+        # The slice is bounded by keys that occur, so no rounding can put a document on the wrong side.
+        narrowed = hit.select("source", F.col("first").alias("low"), F.col("next").alias("high"), (F.col("upto") - F.col("t")).alias("before"), F.when(F.col("first") < F.col("last"), F.col("n")).otherwise(F.lit(0).cast("long")).alias("n"), F.lit(True).alias("found"))
+        done = ranges.where(F.col("found") & (F.col("n") <= BORDER))
+        ranges = scratch.keep(done.unionByName(narrowed))
+        if ranges.where(F.col("n") > BORDER).isEmpty():
+            return ranges.select("source", "low", "high", "before")
+
+
 def mix_documents(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, tokenizer: str = DEFAULT_TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """mix over whole texts; only documents of target sources are encoded."""
+    """mix over whole texts, by the documents' column ``weight`` or, without one, all alike; only documents of target sources are encoded."""
     wanted = targets.where("source is not null and target_share > 0").select("source").distinct()
-    rows = docs.join(wanted, "source", "left_semi").withColumn("weight", default_quality(docs)).select("doc_id", "source", "weight", "text")
+    rows = docs.join(wanted, "source", "left_semi").select("doc_id", "source", (F.col("weight") if "weight" in docs.columns else F.lit(1.0)).cast("double").alias("weight"), "text")
     sized = Scratch(docs.sparkSession, "mixsized").keep(with_token_counts(rows, path=tokenizer))
     return mix(sized, targets, total_tokens, seed)

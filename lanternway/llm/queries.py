@@ -11,7 +11,7 @@ from lanternway.llm.packing import fill_report, pack_documents
 from lanternway.llm.stuffing import find_stuffed
 from lanternway.llm.valuemap import is_case, map_values
 from lanternway.plans.general import current_ways
-from lanternway.runtime import table
+from lanternway.runtime import Scratch, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,35 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p7_containers(spark, sf_dir), table(spark, sf_dir, "container_sizes"))
 
 
+def p7_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each container and document whether its parts are all there, once, and no bin it lies in is overfull."""
+    packed = Scratch(spark, "packed").keep(p7_containers(spark, sf_dir))
+    caps = table(spark, sf_dir, "container_sizes").groupBy("container").agg(F.max("capacity_tokens").alias("capacity"))
+    loads = packed.groupBy("container", "bin_id").agg(F.sum("part_tokens").alias("load")).join(caps, "container").where("load <= capacity").select("container", "bin_id")
+    parts = packed.join(loads, ["container", "bin_id"]).groupBy("container", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part_no").alias("k"), F.max("part_no").alias("last"))
+    return parts.select("container", "doc_id", ((F.col("n") == F.col("k")) & (F.col("last") == F.col("k") - 1)).alias("whole"))
+
+
+def _weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with a weight: the share of a text's characters that are letters."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").withColumn("weight", F.length(F.regexp_replace(text, r"\P{L}+", "")) / F.greatest(F.length(text), F.lit(1)))
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mix_documents(_weighed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mix_documents(_weighed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source: its documents, and whether the mixture keeps the rule on repeats and its share to half a percent or is short."""
+    shares = p8_shares(spark, sf_dir)
+    near = (F.abs(F.col("reached_share") - F.col("target_share")) <= 0.005) | (F.col("short_tokens") > 0) | (F.col("available_tokens") == 0)
+    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"))
+    return shares.join(docs, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("n_documents", F.lit(0).cast("long")).alias("n_documents"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), near.alias("on_target"))
 
 
 def p9_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +84,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_measures(spark, sf_dir).where("is_stuffed").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p6_found, p6_sizes, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_measures)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p6_found, p6_sizes, p7_containers, p7_fill, p7_cover, p8_mixture, p8_shares, p8_check, p9_found, p9_measures)}

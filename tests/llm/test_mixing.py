@@ -54,3 +54,14 @@ def test_empty(spark):
     got, shares = run(spark, [], [("a", 1.0, 1)])
     assert got == {} and shares["a"].used_tokens == 0
     assert run(spark, [(1, "a", 5, 1.0, 0)], [])[0] == {}
+
+
+def test_border_by_narrowing_equals_sorting(spark, monkeypatch):
+    """Weights as unequal as they come and a border one task could not sort at once: the same documents as one sorted prefix."""
+    rng = random.Random(2)
+    docs = [(i, "a", rng.randrange(1, 30), rng.choice([0.01, 0.012, 0.05, 1.0]) if i % 3 else None, 0) for i in range(900)]
+    want, _ = run(spark, docs, [("a", 1.0, 1)], total=5000)
+    monkeypatch.setattr(M, "SLICES", 4)
+    monkeypatch.setattr(M, "BORDER", 3)
+    got, shares = run(spark, docs, [("a", 1.0, 1)], total=5000)
+    assert set(got) == set(want) and abs(shares["a"].used_tokens - 5000) <= 30
