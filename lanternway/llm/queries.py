@@ -11,7 +11,7 @@ from lanternway.llm.packing import fill_report, pack_documents
 from lanternway.llm.stuffing import find_stuffed
 from lanternway.llm.valuemap import is_case, map_values
 from lanternway.plans.general import current_ways
-from lanternway.runtime import Scratch, table
+from lanternway.runtime import Scratch, salted_join, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = reference.select("tag_key", F.col("canonical").alias("value"))
     cases = ways.unionByName(roads).select("ref_table", "record_id", "t.*").where(is_case(F.col("value"))).join(entries, ["tag_key", "value"], "left_anti")
     meant = map_values(cases.select("tag_key", "value"), reference)
-    return cases.join(meant, ["tag_key", "value"]).select("ref_table", "record_id", "tag_key", "canonical").distinct()
+    # A value that very many records share is a hot key of this join.
+    both = lambda df: df.withColumn("typed", F.concat_ws("\x00", "tag_key", "value"))
+    return salted_join(both(cases), both(meant).select("typed", "canonical"), "typed", F.col("record_id")).select("ref_table", "record_id", "tag_key", "canonical").distinct()
 
 
 def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:

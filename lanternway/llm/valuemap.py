@@ -1,10 +1,10 @@
 """Mapping freely typed values to a canonical list by a prefix-filter set-similarity join.
 
 Distinct values only are worked on. Each is cut into windows of neighbouring words, and each window into
-a set of tokens (its letters, counted, and its letter pairs). Tokens are ordered by rarity among the list's
-forms; windows and forms meet in an equi-join on the rare prefixes of their token sets, the length and
-positional filters drop most pairs, the Jaccard similarity of the rest is computed exactly, and the best
-survivors are verified by edit distance. A value means an entry if its windows agree on it.
+a set of tokens (its letters, counted, and its letter pairs). Tokens are ordered by rarity among the windows and
+the list's forms; both meet in an equi-join on the rare prefixes of their token sets, the length and
+positional filters drop most pairs, the Jaccard similarity of the rest is computed exactly, pairs further apart than
+slips of the hand explain are dropped, and the most similar is kept. A value means an entry if its windows agree on it.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lanternway.runtime import Scratch
+from lanternway.runtime import Scratch, salted_join
 
 #: Letters of other alphabets that look like Latin ones; fixed values.
 LOOKALIKES = str.maketrans("асеорхуіјѕкмтнвԁɡοαρντυικ", "aceopxyijskmthbdgoapvtuik")
@@ -125,34 +126,36 @@ def windows(key: str, value: str, longest: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def judge(key: str, value: str, found: list[tuple[int, int, str, str, int]]) -> str:
+def judge(key: str, value: str, found: list[tuple[int, int, str, str, float]]) -> str:
     """The canonical entry that a value means, or "unmatched".
 
-    found: (first word, end, canonical, form, slips) of windows. Windows that cover more come first; those
+    found: (first word, end, canonical, form, similarity) of windows. Windows that cover more come first; those
     outside brackets rule out those inside; what is left of the value must not speak of something else.
     """
     words, gaps, depths = cut(key, value)
-    taken: list[tuple[int, int, set[str]]] = []
-    # Of two readings that overlap the one that explains more letters with fewer slips is meant.
-    ranked = sorted(found, key=lambda f: (-(len(f[3]) - 2 * f[4]), f[4], f[0]))
-    for i, j, canonical, form, n in ranked:
-        clash = False
-        for a, b, names in taken:
-            if i < b and a < j:
-                clash = True
-                if (a, b) == (i, j) and next(f for f in ranked if (f[0], f[1]) == (a, b))[4] == n and len(form) - 2 * n >= max(len(f[3]) - 2 * f[4] for f in ranked if (f[0], f[1]) == (a, b)):
-                    names.add(canonical)
-        if not clash:
-            taken.append((i, j, {canonical}))
+    taken: list[tuple[int, int, set[str], float]] = []
+    # Of readings that overlap the one is meant with most tokens in common, less half of those that only one side has; equal ones leave it open.
+    def worth(f: tuple) -> float:
+        tokens = 2 * (len("".join(words[f[0] : f[1]])) + len(f[3])) + 2
+        return round(tokens * (2 * f[4] / (1 + f[4]) - 0.5), 6)
+
+    ranked = sorted(found, key=lambda f: (-worth(f), f[0], f[2]))
+    for f in ranked:
+        over = [t for t in taken if f[0] < t[1] and t[0] < f[1]]
+        if not over:
+            taken.append((f[0], f[1], {f[2]}, worth(f)))
+        for t in over:
+            if t[:2] == f[:2] and worth(f) >= t[3]:
+                t[2].add(f[2])
     outside = [t for t in taken if min(depths[t[0] : t[1]]) == 0]
     taken = outside or taken
     names = set().union(*(t[2] for t in taken)) if taken else set()
     if len(names) != 1:
         return "unmatched"
-    used = {k for a, b, _ in taken for k in range(a, b)}
+    used = {k for a, b, *_ in taken for k in range(a, b)}
     rest = [k for k in range(len(words)) if k not in used]
     (name,) = names
-    short = max(len("".join(words[a:b])) for a, b, _ in taken) <= 3
+    short = max(len("".join(words[a:b])) for a, b, *_ in taken) <= 3
     for k in rest:
         if depths[k]:
             continue
@@ -202,42 +205,62 @@ def _token_udf():
     return tokens
 
 
+def jaccard(a: str, b: str) -> float:
+    """Jaccard similarity of the token sets of two words."""
+    x, y = _tokens(a), _tokens(b)
+    common = len(x & y)
+    return common / (len(x) + len(y) - common)
+
+
+@lru_cache(maxsize=100_000)
+def _tokens(word: str) -> frozenset[str]:
+    return frozenset(token_set(word))
+
+
+#: Forms up to which the list's prefixes go to every task: some 25 short rows a form.
+BROADCAST_FORMS = 20_000
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """Pairs of a text of ``left`` and one of ``right`` of the same key whose token sets have a Jaccard
     similarity of at least ``threshold``: (tag_key, text, form, similarity).
 
     left: distinct (tag_key, text). right: distinct (tag_key, form), the smaller side. Exact: the prefix,
-    length and positional filters only drop pairs that cannot reach the threshold.
+    length and positional filters only drop pairs that cannot reach the threshold. Rarity is counted over both sides.
+    Only places in prefixes travel, no sets; frequent tokens are spread over salts.
     """
     tokens = _token_udf()
-    b = right.select("tag_key", "form", tokens("form").alias("set"))
-    rarity = b.select("tag_key", F.explode("set").alias("token")).groupBy("tag_key", "token").agg(F.count(F.lit(1)).alias("n"))
-
-    def prefixes(df: DataFrame, name: str, tag: str) -> DataFrame:
-        """One row a prefix token, with its place and the size of the set. Tokens no form has come first of all."""
-        each = df.select("tag_key", name, "set", F.explode("set").alias("token")).join(F.broadcast(rarity), ["tag_key", "token"], "left")
-        ordered = each.groupBy("tag_key", name).agg(
-            F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("o"), F.first("set").alias("set")
-        )
-        size = F.size("o")
-        keep = size - F.ceil(size * threshold).cast("int") + 1
-        return ordered.select("tag_key", name, F.col("set").alias(f"set_{tag}"), size.alias(f"size_{tag}"), F.posexplode(F.slice("o", F.lit(1), keep)).alias(f"at_{tag}", "t")).select(
-            "tag_key", name, f"set_{tag}", f"size_{tag}", f"at_{tag}", F.col("t.token").alias("token"), F.col("t.n").alias("n")
-        )
-
-    a = left.select("tag_key", "text", tokens("text").alias("set"))
-    pa_, pb = prefixes(a, "text", "a").where("n > 0").drop("n"), prefixes(b, "form", "b").drop("n")
-    # The list's prefixes are a table of fixed size: forms x letters. It is broadcast only as far as that holds.
-    pb = F.broadcast(pb) if right.count() <= 20_000 else pb
-    met = pa_.join(pb, ["tag_key", "token"])
+    key = F.concat_ws("\x00", "tag_key", "token").alias("token")
+    both = left.select("tag_key", "text", F.lit(True).alias("typed")).unionByName(right.select("tag_key", F.col("form").alias("text"), F.lit(False).alias("typed")))
+    each = both.select("tag_key", "text", "typed", F.explode(tokens("text")).alias("token")).select("tag_key", "text", "typed", key)
+    each = Scratch(left.sparkSession, "tokens").keep(each)
+    rarity = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("typed")).alias("listed"))
+    ranked = salted_join(each, rarity, "token", F.col("text")).groupBy("tag_key", "text", "typed").agg(F.array_sort(F.collect_list(F.struct("n", "token", "listed"))).alias("o"))
+    size = F.size("o")
+    prefix = F.slice("o", F.lit(1), size - F.ceil(size * threshold).cast("int") + 1)
+
+    def prefixes(typed: bool, name: str, tag: str) -> DataFrame:
+        """One row a prefix token, with its place and the size of the set."""
+        rows = ranked.where(F.col("typed") == typed).select("tag_key", F.col("text").alias(name), size.alias(f"size_{tag}"), F.posexplode(prefix).alias(f"at_{tag}", "t"))
+        return rows.where("t.listed > 0").select(F.col("t.token").alias("token"), name, f"size_{tag}", f"at_{tag}", *(["tag_key"] if typed else []))
+
+    met = prefixes(True, "text", "a")
+    listed = prefixes(False, "form", "b")
+    if right.count() <= BROADCAST_FORMS:
+        met = met.join(F.broadcast(listed), "token")
+    else:
+        met = salted_join(met, listed, "token", F.col("text"))
     sizes = (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a"))
     overlap = threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b"))
     positional = 1 + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1) >= overlap - 1e-9
     # The bound holds at the first common token; a pair is kept if it holds at any, so none is lost.
-    candidates = met.where(sizes & positional).groupBy("tag_key", "text", "form").agg(F.first("set_a").alias("sa"), F.first("set_b").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    jaccard = common / (F.size("sa") + F.size("sb") - common)
-    return candidates.select("tag_key", "text", "form", jaccard.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    candidates = met.where(sizes & positional).select("tag_key", "text", "form").distinct()
+
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype=float)
+
+    return candidates.withColumn("similarity", similarity("text", "form")).where(F.col("similarity") >= threshold - 1e-12)
 
 
 def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
@@ -270,14 +293,16 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
             yield pdf.assign(slips=n)[ok.to_numpy()]
 
     # Abbreviations ("prim. link") pass by their prefixes instead of their distance.
-    checked = pairs.select("tag_key", "text", "form").mapInPandas(verify, "tag_key string, text string, form string, slips int")
-    named = checked.join(forms, ["tag_key", "form"])
-    hits = cuts.join(named, ["tag_key", "text"]).groupBy("tag_key", "value").agg(F.collect_list(F.struct("i", "j", "canonical", "form", "slips")).alias("found"))
+    checked = pairs.mapInPandas(verify, "tag_key string, text string, form string, similarity double, slips int")
+    # Of the forms within reach of a text the most similar one is kept, or several entries' forms of equal similarity.
+    best = F.max("similarity").over(W.partitionBy("tag_key", "text"))
+    named = checked.withColumn("best", best).where("similarity >= best").join(forms, ["tag_key", "form"])
+    hits = cuts.join(named, ["tag_key", "text"]).groupBy("tag_key", "value").agg(F.collect_list(F.struct("i", "j", "canonical", "form", "similarity")).alias("found"))
     short = scratch.keep(abbreviations(distinct, reference))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [judge(k, v, [(h["i"], h["j"], h["canonical"], h["form"], h["slips"]) for h in found]) for k, v, found in zip(pdf["tag_key"], pdf["value"], pdf["found"])]
+            got = [judge(k, v, [(h["i"], h["j"], h["canonical"], h["form"], h["similarity"]) for h in found]) for k, v, found in zip(pdf["tag_key"], pdf["value"], pdf["found"])]
             yield pd.DataFrame({"tag_key": pdf["tag_key"], "value": pdf["value"], "canonical": got})
 
     decided = hits.mapInPandas(decide, "tag_key string, value string, canonical string")
