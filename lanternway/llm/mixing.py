@@ -30,7 +30,7 @@ def plan_budgets(available: DataFrame, targets: DataFrame, total_tokens: int | N
     t = targets.where("source is not null and target_share > 0").groupBy("source").agg(
         F.max("target_share").alias("target_share"), F.max(F.greatest("max_repeats", F.lit(0))).cast("long").alias("max_repeats")
     )
-    a = t.join(available, "source", "left").withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0).cast("long")))
+    a = t.join(available, "source", "left").withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0).cast("long"))).withColumn("largest_tokens", F.coalesce("largest_tokens", F.lit(0).cast("long")))
     # Whole-token caps avoid a last fraction; one window over a row a target.
     cap = F.when(F.col("available_tokens") * F.col("max_repeats") > 0, F.col("available_tokens") * F.col("max_repeats") / F.col("target_share"))
     total = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(F.min(cap).over(W.partitionBy(F.lit(1))), F.lit(0.0))
@@ -52,7 +52,7 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     A null weight, or one under LEAST_WEIGHT, counts as that.
     """
     spark = sized.sparkSession
-    available = sized.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.count(F.lit(1)).alias("n_documents"))
+    available = sized.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.max("n_tokens").alias("largest_tokens"))
     scratch = Scratch(spark, "mix")
     plan = scratch.keep(plan_budgets(available, targets, total_tokens))
     few = plan.count() <= 10_000
@@ -77,7 +77,7 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
         plan.join(given, "source", "left")
         .withColumn("used_tokens", F.coalesce("used_tokens", zero))
         .select(
-            "source", "target_share", "max_repeats", "available_tokens", "wanted_tokens", "used_tokens",
+            "source", "target_share", "max_repeats", "available_tokens", "largest_tokens", "wanted_tokens", "used_tokens",
             F.coalesce("used_documents", zero).alias("used_documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
             F.round(F.when(all_used > 0, F.col("used_tokens") / all_used).otherwise(0.0), 6).alias("reached_share"),
             F.greatest(zero, F.col("wanted_tokens") - F.col("used_tokens")).alias("short_tokens"),

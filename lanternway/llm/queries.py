@@ -71,9 +71,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per target source: its documents, and whether the mixture keeps the rule on repeats and its share to half a percent or is short."""
+    """Per target source: its documents, and whether the mixture keeps the rule on repeats and misses the tokens wanted, or all there are, by no more than a document."""
     shares = p8_shares(spark, sf_dir)
-    near = (F.abs(F.col("reached_share") - F.col("target_share")) <= 0.005) | (F.col("short_tokens") > 0) | (F.col("available_tokens") == 0)
+    full = F.col("available_tokens") * F.col("max_repeats")
+    near = F.abs(F.col("used_tokens") - F.least("wanted_tokens", full)) <= F.col("largest_tokens")
     docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"))
     return shares.join(docs, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("n_documents", F.lit(0).cast("long")).alias("n_documents"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), near.alias("on_target"))
 
