@@ -37,13 +37,14 @@ def region_labels(candidates: DataFrame, regions: DataFrame) -> DataFrame:
     """The labels of each region: region_no, place (from 1), text, lat, lon.
 
     Strictly inside the bounds; the first of each full name, places before streets, each by id; at most
-    min(MOST_LABELS, maxLabels), LABELS if the region says nothing. regions: region_no, bounds, maxLabels.
+    min(MOST_LABELS, maxLabels), LABELS if the region says nothing. regions: region_no, bounds, maxLabels and, where only some regions show places, includePlaces.
     """
+    wanted = F.col("includePlaces") if "includePlaces" in regions.columns else F.lit(True)
     keyed = candidates.withColumn("point_id", F.xxhash64("kind", "seq"))
     inside = regions_of_points(keyed.select("point_id", "lat", "lon", F.lit(None).cast("string").alias("geohash")), regions)
     b = F.col("bounds")
-    r = regions.where(valid_bounds(b)).select("region_no", b[0].alias("w"), b[1].alias("s"), b[2].alias("e"), b[3].alias("n"), F.least(F.lit(MOST_LABELS), F.coalesce("maxLabels", F.lit(LABELS))).alias("cap"))
-    met = keyed.join(inside, "point_id").join(F.broadcast(r) if regions.count() <= 10_000 else r, "region_no").where("w < lon and lon < e and s < lat and lat < n")
+    r = regions.where(valid_bounds(b)).select("region_no", b[0].alias("w"), b[1].alias("s"), b[2].alias("e"), b[3].alias("n"), F.least(F.lit(MOST_LABELS), F.coalesce("maxLabels", F.lit(LABELS))).alias("cap"), F.coalesce(wanted, F.lit(False)).alias("places"))
+    met = keyed.join(inside, "point_id").join(F.broadcast(r) if regions.count() <= 10_000 else r, "region_no").where("w < lon and lon < e and s < lat and lat < n and (kind > 0 or places)")
     first = met.groupBy("region_no", "name").agg(F.min(F.struct("kind", "seq", "lat", "lon")).alias("x"), F.first("cap").alias("cap"))
     w = W.partitionBy("region_no").orderBy("x.kind", "x.seq")
     return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= MOST_LABELS).where("place <= cap").select("region_no", "place", F.substring("name", 1, TEXT).alias("text"), "x.lat", "x.lon")
@@ -75,7 +76,17 @@ def area_km2(bounds: Column) -> Column:
 
 def distance_text(metres: Column) -> Column:
     """'1.2 km' from a kilometre on, else metres to the nearest five."""
-    return F.when(metres >= 1000, F.concat(F.format_number(metres / 1000, 1), F.lit(" km"))).otherwise(F.concat((F.floor(metres / 5 + 0.5) * 5).cast("string"), F.lit(" m")))
+    return F.when(metres >= 1000, F.format_string("%.1f km", metres / 1000)).otherwise(F.concat((F.floor(metres / 5 + 0.5) * 5).cast("string"), F.lit(" m")))
+
+
+def bytes_text(size: Column) -> Column:
+    """Megabytes of 2^20 bytes with one decimal, under one whole kilobytes rounded up."""
+    return F.when(size >= 1 << 20, F.format_string("%.1f MB", size / (1 << 20))).otherwise(F.concat(F.ceil(size / 1024).cast("string"), F.lit(" KB")))
+
+
+def date_text(at: Column) -> Column:
+    """Day, month by name, year."""
+    return F.date_format(at, "d MMM yyyy")
 
 
 def minutes_left(seconds: Column, progress: Column, metres: Column) -> Column:

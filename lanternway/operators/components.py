@@ -19,13 +19,12 @@ def global_index(df: DataFrame, order: list[Column | str], name: str) -> DataFra
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = Scratch(spark, "index").keep(ranged.withColumn("_m", F.monotonically_increasing_id()))
     part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    offsets, total = {}, 0
+    offsets, total = [], 0
     for row in placed.groupBy(part.alias("p")).count().orderBy("p").collect():
-        offsets[row["p"]], total = total, total + row["count"]
-    if not offsets:
-        return placed.withColumn(name, F.lit(0).cast("long")).drop("_m")
-    start = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p).cast("long"), F.lit(o).cast("long"))])
-    return placed.withColumn(name, start[part] + at).drop("_m")
+        offsets.append((row["p"], total))
+        total += row["count"]
+    starts = spark.createDataFrame(offsets, "_p long, _start long")  # a row a partition
+    return placed.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + at).drop("_m", "_p", "_start")
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

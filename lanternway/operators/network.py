@@ -31,8 +31,8 @@ def placed_refs(ways: DataFrame, nodes: DataFrame, profile: str) -> DataFrame:
 def segments(refs: DataFrame) -> DataFrame:
     """Directed edges between neighbouring references, each weighted by itself.
 
-    Result: edge_id, way_id, pos, source, target, weight, metres and both positions; edge_id is made of the
-    way's id, the place in it and the direction. A cut or a repeated neighbour gives no edge.
+    Result: edge_id, way_id, pos, source, target, weight, metres and both positions; edge_id is the struct of the
+    way's id and of a step, the place in the way and the direction. A cut or a repeated neighbour gives no edge.
     """
     w = W.partitionBy("way_id").orderBy("pos")
     here = refs.withColumn("p", F.lag(F.struct("ref", "lat", "lon")).over(w))
@@ -44,7 +44,7 @@ def segments(refs: DataFrame) -> DataFrame:
     way = lambda s, t, ps, pt, d: F.struct(F.col(s).alias("source"), F.col(t).alias("target"), F.col(ps).alias("at_source"), F.col(pt).alias("at_target"), F.lit(d).alias("dir"))
     both = F.filter(F.array(F.when(F.col("forward"), way("a", "b", "pa", "pb", 0)), F.when(F.col("backward"), way("b", "a", "pb", "pa", 1))), lambda x: x.isNotNull())
     out = flat.withColumn("e", F.explode(both))
-    edge_id = F.col("way_id") * 131072 + F.col("pos") * 2 + F.col("e.dir")
+    edge_id = F.struct("way_id", (F.col("pos") * 2 + F.col("e.dir")).alias("step"))
     return out.select(edge_id.alias("edge_id"), "way_id", "pos", "e.source", "e.target", "weight", "metres", "e.at_source", "e.at_target")
 
 
@@ -108,7 +108,7 @@ def kept_nodes(edges: DataFrame) -> DataFrame:
 def simplify_motor(edges: DataFrame) -> DataFrame:
     """Chains across ways as one edge, by pointer doubling; isolated rings come out unchanged.
 
-    edges: edge_id, source, target, weight, metres, at_target. Each edge into a node that is not kept has
+    edges: edge_id (of any type), source, target, weight, metres, at_target. Each edge into a node that is not kept has
     one successor, so edges form disjoint lists and rings; every edge finds the head of its list in
     log2(longest) rounds, and lists are then aggregated. Result: source, target, weight, metres, shape.
     """

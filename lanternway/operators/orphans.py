@@ -123,7 +123,7 @@ def find_orphans(parents: DataFrame, references: list[tuple[str, DataFrame]], pa
     known = known.select(F.lit(0).alias("kind"), "key", "ts", "a", "b", F.explode(salts_of(F.col("key"), hot)).alias("salt"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = known.unionByName(refs).repartitionByRange(n, "key", "salt").sortWithinPartitions("kind").select("kind", "key", "ts", "a", "b")
-    misses = both.mapInArrow(_probe_partition, "kind int, key long, ts long, record_id long, reason int").distinct()
+    misses = both.mapInArrow(_probe_partition, "kind int, key long, ts long, record_id long, reason int")
     names = F.element_at(F.array(*[F.lit(name) for name, _ in references]), F.col("kind"))
     reasons = F.element_at(F.array(F.lit("missing"), F.lit("late"), F.lit("deleted")), F.col("reason"))
     return misses.select(

@@ -138,6 +138,26 @@ class PackedGraph:
         hit = dist >= 0
         return self.ids[hit], dist[hit]
 
+    def settled(self, source: int, target: int) -> int:
+        """How many nodes a search from source settles until it settles target, or all it reaches."""
+        s, t = self.number(source), self.number(target)
+        if s < 0 or s == t:
+            return 0
+        far, closed, heap = {s: 0}, set(), [(0, s)]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in closed:
+                continue
+            closed.add(u)
+            if u == t:
+                break
+            span = slice(self.offset[u], self.offset[u + 1])
+            for v, w in zip(self.target[span].tolist(), self.weight[span].tolist()):
+                if d + w < far.get(v, d + w + 1):
+                    far[v] = d + w
+                    heapq.heappush(heap, (d + w, v))
+        return len(closed)
+
     def path(self, source: int, target: int) -> tuple[int | None, list[int]]:
         """(cost, nodes) of a cheapest path; (None, []) if there is none. Of equally cheap predecessors the smallest is taken."""
         if source == target:

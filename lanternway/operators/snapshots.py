@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lanternway.runtime import Scratch
+
 #: Patterns tried where the plain ISO cast finds no instant; fixed values.
 TIME_PATTERNS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXX", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyyMMdd'T'HHmmssX", "yyyyMMdd'T'HHmmss", "yyyy/MM/dd HH:mm:ss", "dd.MM.yyyy HH:mm:ss")
 
@@ -60,10 +62,11 @@ def snapshot_changes(snapshots: DataFrame, manifests: DataFrame) -> DataFrame:
     once, its latest delivery deciding. A snapshot without elements removes all. The first gives
     nothing. Result: distinct (region_id, dataset_id, element_type, element_id, change).
     """
-    order = snapshot_order(snapshots, manifests)
+    order = Scratch(snapshots.sparkSession, "order").keep(snapshot_order(snapshots, manifests))  # a row a snapshot, used three times
     e = F.col("e")
     hashes = (
-        snapshots.select("dataset_id", "delivered_at", F.explode("elements").alias("e"))
+        # Rows of snapshots that are not compared go before their elements are unfolded and hashed.
+        snapshots.join(order.select("dataset_id"), "dataset_id", "left_semi").select("dataset_id", "delivered_at", F.explode("elements").alias("e"))
         .where("e.type is not null and e.id is not null")
         .select(
             "dataset_id", "delivered_at", e["type"].alias("element_type"), e["id"].alias("element_id"),

@@ -34,11 +34,11 @@ def _segments(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
 
 
 def segments_walking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir, "walking").select("edge_id", "way_id", "source", "target", "weight", F.round("metres", 3).alias("metres"))
+    return _segments(spark, sf_dir, "walking").select(F.concat_ws(":", "edge_id.way_id", "edge_id.step").alias("edge_id"), "way_id", "source", "target", "weight", F.round("metres", 3).alias("metres"))
 
 
 def segments_motor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir, "motor").select("edge_id", "way_id", "source", "target", "weight", F.round("metres", 3).alias("metres"))
+    return _segments(spark, sf_dir, "motor").select(F.concat_ws(":", "edge_id.way_id", "edge_id.step").alias("edge_id"), "way_id", "source", "target", "weight", F.round("metres", 3).alias("metres"))
 
 
 def node_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +166,32 @@ def tile_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("edge_id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("violation"))
 
 
+def tile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: tiles, nodes, copies in halos, edges, the mean size, and a digest of the sorted list of cells, as a build's manifest has them."""
+    each = tile_stats(spark, sf_dir)
+    listed = F.md5(F.concat_ws(",", F.array_sort(F.collect_list("cell"))))  # a name a tile, as the manifest lists them
+    return each.agg(
+        F.count(F.lit(1)).alias("tiles"), F.sum(F.col("nodes") - F.col("halo_nodes")).alias("nodes"), F.sum("halo_nodes").alias("halo_nodes"), F.sum("forward_edges").alias("edges"),
+        F.round(F.avg("nodes"), 3).alias("nodes_a_tile"), listed.alias("cells_digest"),
+    )
+
+
+def node_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: nodes before and after simplification and the share saved in percent."""
+    segs = Scratch(spark, "segments").keep(_segments(spark, sf_dir, "motor"))
+    ends = lambda df, name: df.select(F.explode(F.array("source", "target")).alias("x")).agg(F.count_distinct("x").alias(name))
+    both = ends(segs, "before").crossJoin(ends(network.simplify_motor(segs), "after"))  # one row each
+    return both.select("before", "after", F.round(100 * (1 - F.col("after") / F.greatest(F.col("before"), F.lit(1))), 3).alias("saved_percent"))
+
+
+def owner_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that tiles of different builds would both own: their visible versions lie in more than one cell."""
+    lat, lon = canonical(F.col("lat")), canonical(F.col("lon"))
+    n = table(spark, sf_dir, "osm_nodes").where(F.col("id").isNotNull() & F.col("visible") & usable_position(F.col("lat"), F.col("lon")))
+    owned = n.select(F.col("id").alias("node_id"), geohash_encode(lat, lon, 6).alias("cell"))
+    return owned.groupBy("node_id").agg(F.count_distinct("cell").alias("n_owners")).where("n_owners > 1")
+
+
 def cell_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _owned(spark, sf_dir).select("node_id", "cell", geohash_encode(F.col("lat"), F.col("lon"), 4).alias("cell4"), geohash_encode(F.col("lat"), F.col("lon"), 9).alias("cell9"))
 
@@ -187,11 +213,17 @@ def cell_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("cell", "place", geohash_encode(F.col("at.lat"), F.col("at.lon"), 6).alias("neighbour"))
 
 
+#: Fixed value: steps of cells up to which a box is covered.
+MOST_STEPS = 100_000
+
+
 def cells_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The geohash-5 cells that cover each region of the catalogue with valid bounds, whatever its size."""
+    """The geohash-5 cells that cover each region of the catalogue with valid bounds; a box of more than MOST_STEPS steps is an error."""
     r = table(spark, sf_dir, "catalog_regions").where(valid_bounds(F.col("bounds"))).select("region_no", *[F.col("bounds")[i].alias(n) for i, n in enumerate("wsen")])
     step = 180.0 / 2**12  # both sides of a cell of five characters
     span = lambda lo, hi, base: F.sequence(F.greatest(F.ceil((F.col(lo) - base) / step) - 1, F.lit(0)), F.greatest(F.ceil((F.col(hi) - base) / step) - 1, F.lit(0)))
+    steps = (F.ceil((F.col("n") - F.col("s")) / step) + 2) * (F.ceil((F.col("e") - F.col("w")) / step) + 2)
+    r = r.withColumn("region_no", F.when(steps <= MOST_STEPS, F.col("region_no")).otherwise(F.raise_error(F.lit("box of too many cells")).cast("long")))
     grid = r.select("region_no", F.explode(span("w", "e", -180.0)).alias("x"), span("s", "n", -90.0).alias("ys")).select("region_no", "x", F.explode("ys").alias("y"))
     cell = geohash_encode(F.col("y") * step - 90 + step / 2, F.col("x") * step - 180 + step / 2, 5)
     return grid.select("region_no", cell.alias("cell")).distinct()
@@ -216,6 +248,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         segments_walking, segments_motor, node_occurrence, graph_stats, simplify_walking, simplify_motor, bbox_crop, components_ranked, component_stats, dense_ids,
-        tile_nodes, tile_edges, tile_stats, csr_offsets, geometry_interning, tile_quality, cell_encode, cell_bounds, cell_neighbours, cells_in_box, missing_cells,
+        tile_nodes, tile_edges, tile_stats, csr_offsets, geometry_interning, tile_quality, tile_totals, node_reduction, owner_conflicts, cell_encode, cell_bounds, cell_neighbours, cells_in_box, missing_cells,
     )
 }

@@ -82,9 +82,9 @@ def segments(profile: str) -> str:
 ), steps as (
   select *, {HAVERSINE.format(a='p_', b='')} as metres from pairs where lat is not null and p_lat is not null and p_ref <> ref
 ), seg as (
-  select way_id * 131072 + pos * 2 as edge_id, way_id, pos, p_ref as source, ref as target, {WEIGHT} as weight, metres from steps where fwd
+  select way_id || ':' || (pos * 2) as edge_id, way_id, pos, p_ref as source, ref as target, {WEIGHT} as weight, metres from steps where fwd
   union all
-  select way_id * 131072 + pos * 2 + 1, way_id, pos, ref, p_ref, {WEIGHT}, metres from steps where bwd
+  select way_id || ':' || (pos * 2 + 1), way_id, pos, ref, p_ref, {WEIGHT}, metres from steps where bwd
 )"""
 
 
@@ -128,11 +128,13 @@ SIMPLE_MOTOR = f"""with recursive {segments('motor')}, ends as (
 select first as source, v as target, weight, round(metres, 3) as metres, n_shape from (select *, row_number() over (partition by head order by n_shape desc) as k from walk) where k = 1
 union all
 select source, target, weight, round(metres, 3), 0 from seg where edge_id not in (select edge_id from walk)"""
-BBOX = f"""with {BASE}, used as (select way_id, nodes from ways where {MOTOR} and len(nodes) >= 2),
+REGIONS = """reg as (select region_no, bounds[1] as w, bounds[2] as s, bounds[3] as e, bounds[4] as n from catalog_regions where len(bounds) = 4 and isfinite(bounds[1]) and isfinite(bounds[2]) and isfinite(bounds[3]) and isfinite(bounds[4]) and bounds[1] >= -180 and bounds[3] <= 180 and bounds[2] >= -90 and bounds[4] <= 90 and bounds[1] < bounds[3] and bounds[2] < bounds[4]
+)"""
+BBOX = f"""with {BASE}, {REGIONS}, used as (select way_id, nodes from ways where {MOTOR} and len(nodes) >= 2),
 each as (select way_id, unnest(nodes) as ref from used),
-hit as (select distinct way_id from each where ref in (select id from nodes where lon between 81.2 and 82.2 and lat between 24.8 and 25.7))
-select 'way' as kind, way_id as id from hit
-union all select distinct 'node', n.id from nodes n join each e on e.ref = n.id where e.way_id in (select way_id from hit)"""
+hit as (select distinct region_no, way_id from each join nodes x on x.id = ref join reg on x.lon between w and e and x.lat between s and n)
+select region_no, 'way' as kind, way_id as id from hit
+union all select distinct region_no, 'node', x.id from hit join each using (way_id) join nodes x on x.id = each.ref"""
 
 EDGES = """ge as (
   select * from graph_edges where edge_id is not null and source is not null and target is not null qualify row_number() over (partition by edge_id) = 1
@@ -212,16 +214,28 @@ NEIGHBOURS = f"""{BOUNDS}, o(place, i, j) as (values {', '.join(f'({k}, {i}, {j}
 select cell, cast(place as int) as place, {encode('y', 'x', 6)} as neighbour from wrapped"""
 IN_BOX = f"""with r as (
   select region_no, bounds[1] as w, bounds[2] as s, bounds[3] as e, bounds[4] as n from catalog_regions where len(bounds) = 4 and isfinite(bounds[1]) and isfinite(bounds[2]) and isfinite(bounds[3]) and isfinite(bounds[4])
-    and bounds[1] >= -180 and bounds[3] <= 180 and bounds[2] >= -90 and bounds[4] <= 90 and bounds[1] < bounds[3] and bounds[2] < bounds[4] and bounds[3] - bounds[1] < 1 and bounds[4] - bounds[2] < 1
+    and bounds[1] >= -180 and bounds[3] <= 180 and bounds[2] >= -90 and bounds[4] <= 90 and bounds[1] < bounds[3] and bounds[2] < bounds[4]
 ), g as (
   select region_no, unnest(range(greatest(cast(ceil((w + 180) / {180.0 / 4096}) as bigint) - 1, 0), greatest(cast(ceil((e + 180) / {180.0 / 4096}) as bigint) - 1, 0) + 1)) as x, s, n from r
 ), h as (
   select region_no, x, unnest(range(greatest(cast(ceil((s + 90) / {180.0 / 4096}) as bigint) - 1, 0), greatest(cast(ceil((n + 90) / {180.0 / 4096}) as bigint) - 1, 0) + 1)) as y from g
 ) select distinct region_no, {encode(f'(y * {180.0 / 4096} - 90 + {90.0 / 4096})', f'(x * {180.0 / 4096} - 180 + {90.0 / 4096})', 5)} as cell from h"""
-MISSING = f"""with {PLACED}, loaded as (select distinct cell from owned where lon between 81.2 and 81.7 and lat between 24.8 and 25.7), seen as (
-  select target as far, target_cell as cell from pe where source_cell in (select cell from loaded)
-  union select source, source_cell from pe where target_cell in (select cell from loaded)
-) select cell, count(*) as n_unresolved from seen where cell not in (select cell from loaded) group by 1"""
+MISSING = f"""with {PLACED}, {REGIONS}, loaded as (
+  select distinct region_no, cell from owned join reg on lon between w and (w + e) / 2 and lat between s and n
+), seen as (
+  select region_no, target as far, target_cell as cell from pe join loaded on loaded.cell = source_cell
+  union select region_no, source, source_cell from pe join loaded on loaded.cell = target_cell
+) select region_no, cell, count(*) as n_unresolved from seen where (region_no, cell) not in (select (region_no, cell) from loaded) group by 1, 2"""
+TOTALS = f"""select count(*) as tiles, cast(sum(nodes - halo_nodes) as bigint) as nodes, cast(sum(halo_nodes) as bigint) as halo_nodes, cast(sum(forward_edges) as bigint) as edges,
+  round(avg(nodes), 3) as nodes_a_tile, md5(string_agg(cell, ',' order by cell)) as cells_digest from ({TILE_STATS})"""
+REDUCTION = f"""select before, after, round(100 * (1 - after / greatest(before, 1)), 3) as saved_percent from
+  (select count(distinct x) as before from (select unnest([source, target]) as x from ({segment_query('motor')}))),
+  (select count(distinct x) as after from (select unnest([source, target]) as x from ({SIMPLE_MOTOR})))"""
+CONFLICTS = f"""select node_id, count(distinct cell) as n_owners from (
+  select id as node_id, {encode('f_lat', 'f_lon', 6)} as cell from (
+    select id, cast(cast(lat as float) as double) as f_lat, cast(cast(lon as float) as double) as f_lon from osm_nodes
+    where id is not null and visible and lat is not null and lon is not null and isfinite(lat) and isfinite(lon) and lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0))
+) group by 1 having count(distinct cell) > 1"""
 
 ORACLES = {
     "segments_walking": segment_query("walking"), "segments_motor": segment_query("motor"), "node_occurrence": NODE_OCCURRENCE, "graph_stats": GRAPH_STATS,
@@ -230,7 +244,7 @@ ORACLES = {
     "component_stats": f"with recursive {COMPONENTS} select count(*) as n_components, cast(sum(n) as bigint) as n_nodes, max(n) as largest, round(max(n) / sum(n), 6) as largest_share from sizes",
     "dense_ids": f"with {BASE} select id as osm_id, row_number() over (order by id) - 1 as node_id from nodes",
     "tile_edges": f"with {TILE_EDGES} select * from te", "tile_nodes": f"with {PLACED}{TILE_NODES} select * from tn", "tile_stats": TILE_STATS, "csr_offsets": CSR,
-    "geometry_interning": GEOMETRY, "tile_quality": QUALITY,
+    "geometry_interning": GEOMETRY, "tile_totals": TOTALS, "node_reduction": REDUCTION, "owner_conflicts": CONFLICTS, "tile_quality": QUALITY,
     "cell_encode": f"with {OWNED} select node_id, cell, {encode('lat', 'lon', 4)} as cell4, {encode('lat', 'lon', 9)} as cell9 from owned",
     "cell_bounds": f"{BOUNDS} select cell, s as south, w as west, n as north, e as east from box", "cell_neighbours": NEIGHBOURS, "cells_in_box": IN_BOX, "missing_cells": MISSING,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternway.functions.lines import turns
-from lanternway.operators import search, snap
+from lanternway.operators import routing, search, snap
 from lanternway.operators.nearby import usable_position
 from lanternway.plans.network import _graph_edges, _owned
 from lanternway.runtime import Scratch, table
@@ -59,8 +59,10 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snap_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     roads = Scratch(spark, "roads").keep(_roads(spark, sf_dir))
     points = _points(spark, sf_dir)
-    near = snap.nearest_paths(points, roads)
-    return snap.snap_status(points, near).select("point_id", F.when(F.col("status") == "too-far", "too-far").otherwise("near").alias("status"), "nearest")
+    near = Scratch(spark, "near").keep(snap.nearest_paths(points, roads))
+    settled = snap.settle(points, roads, near).groupBy("point_id").agg(F.max("status").alias("settled"), F.count(F.lit(1)).alias("n_places"))
+    found = snap.snap_status(points, near).join(settled, "point_id", "left")
+    return found.select("point_id", F.coalesce("settled", F.lit("too-far")).alias("status"), "nearest", F.when(F.col("settled") == "ok", F.col("n_places")).otherwise(0).cast("long").alias("n_places"))
 
 
 def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +78,33 @@ def plan_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.select("request_id", "status", F.round("seconds", 2).alias("seconds"), F.round("metres", 2).alias("metres"), F.size("points").alias("n_points"))
 
 
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request's route over the edges that tiles may hold, by bidirectional A*."""
+    from lanternway.operators.components import connected_components
+    from lanternway.plans.service import sound_edges
+
+    scratch = Scratch(spark, "routes")
+    edges = scratch.keep(sound_edges(spark, sf_dir).select("edge_id", "source", "target", "weight"))
+    links = scratch.keep(search.costed(edges))
+    parts = connected_components(edges).select("node_id", F.col("root").alias("component"))
+    nodes = _owned(spark, sf_dir).select("node_id", "lat", "lon").join(parts, "node_id")
+    return scratch.keep(routing.routes(links, nodes, _requests(spark, sf_dir)))
+
+
+def route_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routes(spark, sf_dir).select("request_id", "source", "target", "status", "cost")
+
+
+def route_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes settled per routable request by bidirectional A* and by a plain search, and how many routes do not add up."""
+    got = _routes(spark, sf_dir).where("status = 'complete' and source <> target")
+    return got.agg(F.count(F.lit(1)).alias("n_routes"), F.round(F.avg("settled"), 2).alias("settled"), F.round(F.avg("settled_plain"), 2).alias("settled_plain"))
+
+
 def turn_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns along every edge's own line."""
     said = _roads(spark, sf_dir).select("edge_id", F.posexplode(turns(F.col("points"), F.col("lengths"))).alias("step", "t"))
     return said.select("edge_id", "step", F.round("t.along", 2).alias("along"), F.col("t.what").alias("instruction"))
 
 
-QUERIES = {f.__name__: f for f in (nearest_exit, hazard_cost, shortest_cost, shortest_path_check, snap_points, plan_walk, turn_list)}
+QUERIES = {f.__name__: f for f in (nearest_exit, hazard_cost, shortest_cost, shortest_path_check, route_cost, route_effort, snap_points, plan_walk, turn_list)}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lanternway.functions.geo import haversine_m, heuristic_weight
 from lanternway.functions.lines import cumulative_metres, decimate
 from lanternway.operators import catalog, guidance
-from lanternway.operators.components import connected_components, global_index
+from lanternway.operators.components import connected_components, global_index, ranked_components
 from lanternway.operators.nearby import valid_bounds
+from lanternway.operators.snap import bounding_box
 from lanternway.plans.network import _graph_edges, _owned, base_nodes, base_ways, dense_ids, placed_edges
 from lanternway.plans.routing import _roads
 from lanternway.runtime import Scratch, table
@@ -59,21 +62,50 @@ def manifest_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy(F.col("datasetId").alias("dataset_id"), F.col("totalBytes").alias("total_bytes")).agg(F.count(F.lit(1)).alias("n_assets"), F.sum("a.bytes").alias("asset_bytes"), F.count_if(F.col("a.kind") == "basemap").alias("n_basemaps"))
 
 
+def saved_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per region the generations whose manifests break no rule, what they take together, and that in words."""
+    m = table(spark, sf_dir, "pack_manifests")
+    bad = manifest_verify(spark, sf_dir).select(F.col("dataset_id").alias("datasetId")).distinct()
+    good = m.select("regionId", "datasetId", "totalBytes").distinct().join(bad, "datasetId", "left_anti")
+    return good.groupBy(F.col("regionId").alias("region_id")).agg(F.count_distinct("datasetId").alias("n_packs"), F.sum("totalBytes").alias("saved_bytes")).withColumn("size_text", catalog.bytes_text(F.col("saved_bytes")))
+
+
+def stale_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generations of a region that may go: all but the newest, and the date of their source in words."""
+    from lanternway.operators.snapshots import instant
+
+    m = table(spark, sf_dir, "pack_manifests").where("datasetId is not null").groupBy("regionId", "datasetId").agg(F.max(instant(F.col("source.timestamp"))).alias("at"))
+    newest = m.groupBy("regionId").agg(F.max_by("datasetId", F.struct("at", "datasetId")).alias("datasetId"))
+    return m.join(newest, ["regionId", "datasetId"], "left_anti").select(F.col("regionId").alias("region_id"), F.col("datasetId").alias("dataset_id"), catalog.date_text(F.col("at")).alias("date_text"))
+
+
 def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_violations(table(spark, sf_dir, "pack_manifests"), _regions(spark, sf_dir))
 
 
+#: Fixed value: lines of a region's preview.
+FIRST = 400
+
+
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decimated lines of each edge, its layer-free GeoJSON and its length, for drawing."""
+    """The lines bundled with a catalogue: of each region the first FIRST ways by id that are worth drawing small, with what is left of
+    their points, their length, the minutes it takes to walk them and their box."""
     from lanternway.operators.network import placed_refs
 
-    refs = placed_refs(base_ways(spark, sf_dir), base_nodes(spark, sf_dir), "walking").where("lat is not null")
+    ways = base_ways(spark, sf_dir)
+    refs = placed_refs(ways, base_nodes(spark, sf_dir), "walking").where("lat is not null")
     lines = refs.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon"))).alias("s"))
     points = F.transform("s", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
     lines = lines.select("way_id", points.alias("points")).where("size(points) >= 2")
     few = decimate(F.col("points"))
-    return lines.withColumn("metres", F.element_at(cumulative_metres(F.col("points")), -1)).select(
-        "way_id", F.size("points").alias("n_points"), F.size(few).alias("n_preview"), F.round("metres", 2).alias("metres"), catalog.distance_text(F.col("metres")).alias("length_text")
+    large = ways.where(~F.coalesce(F.col("tags")["highway"], F.lit("")).isin("steps", "service")).select("way_id", "region_id")
+    w = W.partitionBy("region_id").orderBy("way_id")
+    first = lines.join(large, "way_id").withColumn("k", F.row_number().over(w)).where(F.col("k") <= FIRST)
+    metres, box = F.col("metres"), bounding_box(F.col("points"))
+    out = first.withColumn("metres", F.element_at(cumulative_metres(F.col("points")), -1)).withColumn("b", box).where(F.size(few) >= 2)
+    return out.select(
+        "way_id", "region_id", F.size("points").alias("n_points"), F.size(few).alias("n_preview"), F.round("metres", 2).alias("metres"), catalog.distance_text(metres).alias("length_text"),
+        catalog.minutes_left(metres / (4.8 / 3.6), F.lit(0.0), F.greatest(metres, F.lit(1e-9))).alias("minutes"), *[F.round(f"b.{c}", 6).alias(c) for c in ("west", "south", "east", "north")],
     )
 
 
@@ -83,19 +115,28 @@ def roads_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("l.layer", "l.min_zoom").agg(F.count(F.lit(1)).alias("n_roads"), F.sum("n").alias("n_points"))
 
 
+def sound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placed edges that a reader of tiles accepts: a weight of 32 bits, no less than the distance allows, and a finite shape."""
+    own = _owned(spark, sf_dir).select("node_id", "lat", "lon")
+    at = lambda p: own.select(F.col("node_id").alias(p), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
+    e = placed_edges(spark, sf_dir).join(at("source"), "source").join(at("target"), "target")
+    least = heuristic_weight(haversine_m(F.col("source_lat"), F.col("source_lon"), F.col("target_lat"), F.col("target_lon")))
+    bad = F.coalesce(F.exists("shape", lambda p: p["lat"].isNull() | p["lon"].isNull() | F.isnan(p["lat"]) | F.isnan(p["lon"])), F.lit(False))
+    return e.where((F.col("weight") >= F.greatest(least, F.lit(1))) & (F.col("weight") <= 0xFFFFFFFF) & ~bad)
+
+
 def tile_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tiles written as binary route tiles and read back: the forward edges that come out."""
+    """All tiles written as binary route tiles and read back: both adjacencies with shapes and components. Nodes without edges
+    are in no tile. The format numbers components in 16 bits; more of them are an error."""
     scratch = Scratch(spark, "tiles")
     numbered = scratch.keep(dense_ids(spark, sf_dir))
     owned = _owned(spark, sf_dir).withColumnRenamed("node_id", "osm_id").join(numbered, "osm_id")
-    edges = placed_edges(spark, sf_dir).where("weight >= 1")
-    root = connected_components(edges).select(F.col("node_id").alias("osm_id"), "root")
-    # The format has 16 bits for components; beyond that they share the last number.
-    from lanternway.operators.components import ranked_components
-
-    ranked = ranked_components(root.select(F.col("osm_id").alias("node_id"), "root").withColumn("first_seen", F.col("node_id"))).select(F.col("node_id").alias("osm_id"), F.least(F.col("component"), F.lit(65535)).cast("int").alias("component"))
+    edges = scratch.keep(sound_edges(spark, sf_dir))
+    root = connected_components(edges).withColumn("first_seen", F.col("node_id"))
+    fits = F.when(F.col("component") <= 0xFFFF, F.col("component")).otherwise(F.raise_error(F.lit("component id exceeds 16 bits")).cast("long"))
+    ranked = ranked_components(root).select(F.col("node_id").alias("osm_id"), fits.cast("int").alias("component"))
     occurs = edges.select(F.explode(F.array("source", "target")).alias("osm_id")).groupBy("osm_id").agg((F.count(F.lit(1)) > 1).alias("junction"))
-    nodes = scratch.keep(owned.join(ranked, "osm_id", "left").join(occurs, "osm_id", "left").select("osm_id", "node_id", "lat", "lon", "cell", F.coalesce("component", F.lit(65535)).alias("component"), F.coalesce("junction", F.lit(False)).alias("junction")))
+    nodes = scratch.keep(owned.join(ranked, "osm_id").join(occurs, "osm_id").select("osm_id", "node_id", "lat", "lon", "cell", "component", "junction"))
     number = lambda c: nodes.select(F.col("osm_id").alias(c), F.col("node_id").alias(f"{c}_no"))
     e = edges.join(number("source"), "source").join(number("target"), "target").withColumn("cell", F.explode(F.array_distinct(F.array("source_cell", "target_cell"))))
     e = scratch.keep(e.select("cell", F.col("source_no").alias("source"), F.col("target_no").alias("target"), "weight", "shape", (F.col("source_cell") == F.col("cell")).alias("forward"), (F.col("target_cell") == F.col("cell")).alias("reverse")))
@@ -103,7 +144,7 @@ def tile_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = members.groupBy("cell", "node_id").agg(F.min("halo").alias("halo"))
     full = members.join(nodes.select("node_id", "lat", "lon", "component", "junction"), "node_id")
     tiles = scratch.keep(encode_tiles(full, e))
-    return decode_tiles(tiles)
+    return decode_tiles(tiles).withColumn("lat_sum", F.round("lat_sum", 3)).withColumn("lon_sum", F.round("lon_sum", 3))
 
 
 # ---- guidance -------------------------------------------------------------------------------------------------
@@ -114,8 +155,6 @@ def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     Events are the fixes: their order gives the place along the line, their value the accuracy, and their id a delay.
     """
-    from pyspark.sql import Window as W
-
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     roads = global_index(_roads(spark, sf_dir).where("metres >= 3").select("edge_id", "points"), ["edge_id"], "n")
     m = max(roads.count(), 1)
@@ -140,7 +179,8 @@ def fix_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.pmod("event_id", F.lit(31)) - 8) * 1_000_000)
     ok = guidance.admissible(F.col("value"), F.col("ts").cast("timestamp"), at)
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(ok).alias("n_admitted"))
+    start = guidance.start_admissible(F.col("value"), F.col("ts").cast("timestamp"), at)
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(ok).alias("n_admitted"), F.count_if(F.coalesce(start, F.lit(False))).alias("n_starts"))
 
 
 def guidance_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,5 +197,5 @@ def guidance_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (labels, place_search, region_search, region_lookup, region_status, manifest_assets, manifest_verify, preview, roads_by_layer, tile_exchange, fix_admission, guidance_batch, guidance_stream)
+    for f in (labels, place_search, region_search, region_lookup, region_status, manifest_assets, manifest_verify, saved_bytes, stale_generations, preview, roads_by_layer, tile_exchange, fix_admission, guidance_batch, guidance_stream)
 }

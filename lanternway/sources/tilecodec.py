@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternway.functions.geo import HEURISTIC_MPS
+from lanternway.operators.nearby import haversine
+
 #: Fixed values of the format.
 MAGIC, VERSION, HEADER_BYTES = 0x4F475254, 2, 64
 HALO, JUNCTION, BACKWARDS = 1, 2, 0x80000000
@@ -83,64 +86,106 @@ def encode_tile(cell: str, nodes: pd.DataFrame, edges: pd.DataFrame) -> bytes:
     return head.ljust(HEADER_BYTES, b"\0") + body + bytes(pool)
 
 
-def decode_tile(blob: bytes) -> tuple[str, pd.DataFrame, pd.DataFrame]:
-    """(cell, nodes, edges) of a tile; edges are the forward ones with their shapes. Raises TileError if it is not sound."""
-    if len(blob) < HEADER_BYTES:
-        raise TileError("shorter than a header")
-    magic, version, n, n_ahead, n_back, low, high, at_pool, n_pool = struct.unpack_from("<9I", blob)
-    box = struct.unpack_from("<4f", blob, 36)
-    if magic != MAGIC or version != VERSION:
-        raise TileError("not a tile of this version")
-    cell = (low.to_bytes(4, "little")[:3] + high.to_bytes(4, "little")[:3]).decode("latin-1")
-    if any(ch not in ALPHABET for ch in cell):
-        raise TileError("bad cell")
-    if not (np.isfinite(box).all() and -90 <= box[0] < box[2] <= 90 and -180 <= box[1] < box[3] <= 180):
-        raise TileError("bad box")
-    end = HEADER_BYTES + 15 * n
-    at = end + (-end) % 4
-    if at + 8 * (n + 1) + 12 * (n_ahead + n_back) != at_pool or at_pool + n_pool != len(blob):
-        raise TileError("sizes do not add up")
-
-    place = HEADER_BYTES
-
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal place
-        out = np.frombuffer(blob, kind, count, place)
-        place += out.nbytes
-        return out
-
-    lat, lon, ids, component, flags = take("<f4", n), take("<f4", n), take("<u4", n), take("<u2", n), take("u1", n)
-    place = at
-    lists = [(take("<u4", n + 1), take("<u4", k), take("<u4", k), take("<u4", k)) for k in (n_ahead, n_back)]
-    halo = (flags & HALO) > 0
-    if not (np.isfinite(lat).all() and np.isfinite(lon).all()):
-        raise TileError("position not finite")
-    if n > 1 and (np.diff(ids.astype(np.int64)) <= 0).any():
-        raise TileError("ids not ascending")
-    if (flags & ~np.uint8(HALO | JUNCTION)).any():
-        raise TileError("unknown flag")
-    for offsets, far, weight, _ in lists:
-        o = offsets.astype(np.int64)
-        if o[0] != 0 or o[-1] != len(far) or (np.diff(o) < 0).any():
-            raise TileError("adjacency offsets")
-        if (far >= n).any() or (weight < 1).any() or (np.diff(o)[halo] > 0).any():
-            raise TileError("adjacency entries")
-
-    def shape(ref: int) -> list[tuple[float, float]]:
-        o = at_pool + (ref & ~BACKWARDS)
-        if o + 2 > len(blob):
+def cell_of(lat: float, lon: float) -> str:
+    """The cell of six characters a place is in; a place on a middle line belongs to the lower half."""
+    low, high, out, value = [-180.0, -90.0], [180.0, 90.0], "", 0
+    for k in range(30):
+        axis = k % 2
+        middle = (low[axis] + high[axis]) / 2
+        up = (lon, lat)[axis] > middle
+        (low if up else high)[axis] = middle
+        value = value * 2 + up
+        if k % 5 == 4:
+            out, value = out + ALPHABET[value], 0
+    return out
+
+
+class Tile:
+    """A tile's columns and adjacency as views of its bytes; TileError if it is not sound.
+
+    lists: forward and reverse (offsets, far slot, weight, shape reference).
+    """
+
+    def __init__(self, blob: bytes):
+        self.blob = blob
+        if len(blob) < HEADER_BYTES:
+            raise TileError("shorter than a header")
+        magic, version, n, n_ahead, n_back, low, high, self.at_pool, n_pool = struct.unpack_from("<9I", blob)
+        box = struct.unpack_from("<4f", blob, 36)
+        if magic != MAGIC or version != VERSION:
+            raise TileError("not a tile of this version")
+        self.cell = (low.to_bytes(4, "little")[:3] + high.to_bytes(4, "little")[:3]).decode("latin-1")
+        if any(ch not in ALPHABET for ch in self.cell):
+            raise TileError("bad cell")
+        if not (np.isfinite(box).all() and -90 <= box[0] < box[2] <= 90 and -180 <= box[1] < box[3] <= 180):
+            raise TileError("bad box")
+        end = HEADER_BYTES + 15 * n
+        at = end + (-end) % 4
+        if at + 8 * (n + 1) + 12 * (n_ahead + n_back) != self.at_pool or self.at_pool + n_pool != len(blob):
+            raise TileError("sizes do not add up")
+        place = HEADER_BYTES
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal place
+            out = np.frombuffer(blob, kind, count, place)
+            place += out.nbytes
+            return out
+
+        self.lat, self.lon, self.ids, self.component, self.flags = take("<f4", n), take("<f4", n), take("<u4", n), take("<u2", n), take("u1", n)
+        place = at
+        self.lists = [(take("<u4", n + 1), take("<u4", k), take("<u4", k), take("<u4", k)) for k in (n_ahead, n_back)]
+        self.halo = (self.flags & HALO) > 0
+        self._check(n)
+
+    def _check(self, n: int) -> None:
+        if not (np.isfinite(self.lat).all() and np.isfinite(self.lon).all()):
+            raise TileError("position not finite")
+        if n > 1 and (np.diff(self.ids.astype(np.int64)) <= 0).any():
+            raise TileError("ids not ascending")
+        if (self.flags & ~np.uint8(HALO | JUNCTION)).any():
+            raise TileError("unknown flag")
+        for offsets, far, weight, refs in self.lists:
+            o = offsets.astype(np.int64)
+            if o[0] != 0 or o[-1] != len(far) or (np.diff(o) < 0).any():
+                raise TileError("adjacency offsets")
+            if (far >= n).any() or (weight < 1).any() or (np.diff(o)[self.halo] > 0).any():
+                raise TileError("adjacency entries")
+            for ref in np.unique(refs).tolist():
+                self.shape(ref)
+            near = np.repeat(np.arange(n), np.diff(o))
+            metres = haversine(self.lat[near].astype(float), self.lon[near].astype(float), self.lat[far].astype(float), self.lon[far].astype(float))
+            if (weight < np.floor(metres / HEURISTIC_MPS * 100)).any():
+                raise TileError("weight below what the distance allows")
+
+    def shape(self, ref: int) -> list[tuple[float, float]]:
+        o = self.at_pool + (ref & ~BACKWARDS)
+        if o + 2 > len(self.blob):
             raise TileError("shape reference")
-        (k,) = struct.unpack_from("<H", blob, o)
-        if o + 2 + 8 * k > len(blob):
+        (k,) = struct.unpack_from("<H", self.blob, o)
+        if o + 2 + 8 * k > len(self.blob):
             raise TileError("shape cut off")
-        pts = np.frombuffer(blob, "<f4", 2 * k, o + 2).reshape(-1, 2).astype(float).tolist()
-        return [tuple(p) for p in (pts[::-1] if ref & BACKWARDS else pts)]
+        points = np.frombuffer(self.blob, "<f4", 2 * k, o + 2)
+        if not np.isfinite(points).all():
+            raise TileError("shape not finite")
+        points = points.reshape(-1, 2).astype(float).tolist()
+        return [tuple(p) for p in (points[::-1] if ref & BACKWARDS else points)]
+
+    def nodes(self) -> pd.DataFrame:
+        return pd.DataFrame({"node_id": self.ids.astype(np.int64), "lat": self.lat.astype(float), "lon": self.lon.astype(float), "component": self.component.astype(np.int32), "halo": self.halo, "junction": (self.flags & JUNCTION) > 0})
 
-    offsets, far, weight, refs = lists[0]
-    source = np.repeat(ids, np.diff(offsets.astype(np.int64)))
-    nodes = pd.DataFrame({"node_id": ids.astype(np.int64), "lat": lat.astype(float), "lon": lon.astype(float), "component": component.astype(np.int32), "halo": halo, "junction": (flags & JUNCTION) > 0})
-    edges = pd.DataFrame({"source": source.astype(np.int64), "target": ids[far].astype(np.int64), "weight": weight.astype(np.int64), "shape": [shape(int(r)) for r in refs]})
-    return cell, nodes, edges
+    def edges(self, backwards: bool = False) -> pd.DataFrame:
+        """source, target, weight, shape of one adjacency; a shape runs from source to target either way."""
+        offsets, far, weight, refs = self.lists[1 if backwards else 0]
+        near, other = np.repeat(self.ids, np.diff(offsets.astype(np.int64))).astype(np.int64), self.ids[far].astype(np.int64)
+        source, target = (other, near) if backwards else (near, other)
+        shapes = [self.shape(r) for r in refs.tolist()]
+        return pd.DataFrame({"source": source, "target": target, "weight": weight.astype(np.int64), "shape": [s[::-1] for s in shapes] if backwards else shapes})
+
+
+def decode_tile(blob: bytes) -> tuple[str, pd.DataFrame, pd.DataFrame]:
+    """(cell, nodes, edges) of a tile; edges are the forward ones with their shapes. Raises TileError if it is not sound."""
+    tile = Tile(blob)
+    return tile.cell, tile.nodes(), tile.edges()
 
 
 def encode_tiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -166,14 +211,22 @@ def encode_tiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def decode_tiles(tiles: DataFrame) -> DataFrame:
-    """cell, source, target, weight, n_shape of the forward edges in tiles (column blob), as binaryFile or encode_tiles give them."""
+    """Both adjacencies of tiles (column blob, as binaryFile or encode_tiles give them): cell, reverse, source, target, weight,
+    n_shape, the sums of the shape's coordinates along the edge, each times its place, and the components of both ends."""
+    schema = "cell string, reverse boolean, source long, target long, weight long, n_shape int, lat_sum double, lon_sum double, source_component int, target_component int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows: list[tuple] = []
             for blob in pdf["blob"]:
-                cell, _, e = decode_tile(bytes(blob))
-                rows += [(cell, s, t, w, len(p)) for s, t, w, p in zip(e["source"], e["target"], e["weight"], e["shape"])]
-            yield pd.DataFrame(rows, columns=["cell", "source", "target", "weight", "n_shape"])
-
-    return tiles.select(F.col("blob")).mapInPandas(run, "cell string, source long, target long, weight long, n_shape int")
+                tile = Tile(bytes(blob))
+                part = lambda ids: tile.component[np.searchsorted(tile.ids, ids)].astype(np.int32)
+                for backwards in (False, True):
+                    e = tile.edges(backwards)
+                    if len(e):
+                        sums = np.array([(np.arange(1, len(s) + 1) @ np.array(s)).tolist() if s else (0.0, 0.0) for s in e["shape"]])
+                        yield pd.DataFrame({
+                            "cell": tile.cell, "reverse": backwards, "source": e["source"], "target": e["target"], "weight": e["weight"], "n_shape": e["shape"].map(len).astype(np.int32),
+                            "lat_sum": sums[:, 0], "lon_sum": sums[:, 1], "source_component": part(e["source"].to_numpy()), "target_component": part(e["target"].to_numpy()),
+                        })
+
+    return tiles.select(F.col("blob")).mapInPandas(run, schema)

@@ -19,7 +19,7 @@ CELL = "ttnfsw"
 def tile():
     nodes = pd.DataFrame({"node_id": [4, 1, 9], "lat": [28.6, 28.601, 28.602], "lon": [77.2, 77.201, 77.202], "component": [0, 0, 1], "halo": [False, False, True], "junction": [True, False, False]})
     shape = [(28.6005, 77.2005), (28.6007, 77.2006)]
-    edges = pd.DataFrame({"source": [4, 1, 1, 4], "target": [1, 4, 9, 4], "weight": [10, 10, 7, 3], "shape": [shape, shape[::-1], [], []], "forward": [True] * 4, "reverse": [True, True, False, True]})
+    edges = pd.DataFrame({"source": [4, 1, 1, 4], "target": [1, 4, 9, 4], "weight": [10000, 10000, 7000, 3], "shape": [shape, shape[::-1], [], []], "forward": [True] * 4, "reverse": [True, True, False, True]})
     return nodes, edges
 
 
@@ -29,7 +29,7 @@ def test_tile_round_trip():
     cell, n, e = tilecodec.decode_tile(blob)
     assert cell == CELL and n["node_id"].tolist() == [1, 4, 9] and n["halo"].tolist() == [False, False, True]
     got = {(r.source, r.target, r.weight, len(r.shape)) for r in e.itertuples()}
-    assert got == {(4, 1, 10, 2), (1, 4, 10, 2), (1, 9, 7, 0), (4, 4, 3, 0)}
+    assert got == {(4, 1, 10000, 2), (1, 4, 10000, 2), (1, 9, 7000, 0), (4, 4, 3, 0)}
     a, b = (e[(e.source == s) & (e.target == t)]["shape"].iloc[0] for s, t in ((4, 1), (1, 4)))
     assert a == b[::-1]
     assert blob == tilecodec.encode_tile(CELL, nodes.iloc[::-1], edges.iloc[::-1])
@@ -128,6 +128,57 @@ def test_walks(spark):
     assert got[8].cost == pytest.approx(15000, rel=1e-3)
 
 
+def test_sinks(spark, tmp_path):
+    """Pointer, lease, forgetting, half-done runs, withdrawal and catalogue."""
+    root = f"file://{tmp_path}/packs"
+    packs._write_text(spark, f"{root}/r/ACTIVE", "one")
+    packs._write_text(spark, f"{root}/r/ACTIVE", "two")
+    assert packs.active(spark, root, "r") == "two" and sorted(p.name for p in (tmp_path / "packs" / "r").iterdir() if not p.name.startswith(".")) == ["ACTIVE"]
+    assert not packs.forget(spark, root, "r", "one") and packs.forget(spark, root, "r", "two") and packs.active(spark, root, "r") is None
+    assert packs.check_active(spark, root, "r") == ["none active"]
+    clock = [0.0]
+    with packs.lease(spark, root, "r", "a", now=lambda: clock[0]):
+        with packs.lease(spark, root, "r", "a", now=lambda: clock[0]):
+            pass
+        with packs.lease(spark, root, "r", "a", now=lambda: clock[0]):
+            with pytest.raises(PermissionError):
+                with packs.lease(spark, root, "r", "b", now=lambda: clock[0]):
+                    pass
+            clock[0] = 46.0
+            with packs.lease(spark, root, "r", "b", now=lambda: clock[0]):
+                pass
+    (tmp_path / "packs" / "r" / "_staging-x").mkdir()
+    assert packs.clear_partial(spark, root, "r") == 1 and packs.clear_partial(spark, root, "gone") == 0
+    packs.remove(spark, root, "r")
+    assert not (tmp_path / "packs" / "r").exists()
+    with pytest.raises(ValueError):
+        packs.write_catalogue(spark, f"{root}/catalog.json", [])
+
+
+def test_damage_withdraws_a_generation(spark, tmp_path):
+    tiles = spark.createDataFrame([(CELL, bytearray(tilecodec.encode_tile(CELL, *tile())))], "cell string, blob binary")
+    region = {"id": "r", "name": "R", "subtitle": "", "coverageLabel": "", "bounds": [77.0, 28.0, 78.0, 29.0]}
+    drawing, root = {"version": 1, "bounds": region["bounds"], "roads": [{"kind": "path", "points": [[77.2, 28.6], [77.3, 28.6]]}], "labels": []}, f"file://{tmp_path}/packs"
+    one = packs.publish(tiles, drawing, region, "a" * 64, "2026-01-01T00:00:00Z", root)
+    assert packs.check_active(spark, root, "r") == []
+    entry = packs.catalogue_entry(region, one, packs.digest(packs.canonical_json(one)), drawing)
+    packs.write_catalogue(spark, f"{root}/catalog.json", [entry])
+    listed = spark.createDataFrame([("r", region["bounds"], one["datasetId"], one["totalBytes"])], "id string, bounds array<double>, datasetId string, totalBytes long")
+    m = spark.read.json(spark.sparkContext.parallelize([packs.canonical_json(one).decode()]))
+    assert packs.manifest_violations(m, listed).count() == 0
+    assert {r.violation for r in packs.manifest_violations(m.withColumn("totalBytes", F.lit(1)), listed.withColumn("datasetId", F.lit("x"))).collect()} == {"generation", "total"}
+    packs.assets_of(tiles, b"{}").write.mode("overwrite").parquet(f"{root}/r/{one['datasetId']}/assets")
+    assert packs.check_active(spark, root, "r") == ["map.json: differs"] and packs.active(spark, root, "r") is None
+
+
+def test_drawings(spark):
+    schema = "version int, bounds array<double>, roads array<struct<kind:string,points:array<array<double>>>>, labels array<struct<text:string,point:array<double>>>"
+    good = (1, [0.0, 0.0, 1.0, 1.0], [("path", [[0.1, 0.1], [0.2, 0.2]])], [("a", [0.1, 0.1])])
+    bad = (2, [1.0, 0.0, 0.0, 1.0], [(None, [[0.1, 0.1]])], [("x" * 151, [200.0, 0.0])])
+    codes = [sorted(r.violation for r in packs.drawing_violations(spark.createDataFrame([d], schema)).collect()) for d in (good, bad)]
+    assert codes == [[], ["bounds", "label", "road", "version"]]
+
+
 def test_turns(spark):
     line = [(0.0, 0.0), (0.001, 0.0), (0.001, 0.001), (0.0011, 0.001), (0.0011, 0.0002), (0.0012, 0.0002)]
     rows = [(1, [{"lat": a, "lon": b} for a, b in line]), (2, [{"lat": 0.0, "lon": 0.0}, {"lat": 0.0, "lon": 0.001}]), (3, [{"lat": 0.0, "lon": x} for x in (0.0, 0.001, 0.0)])]
