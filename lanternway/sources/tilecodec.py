@@ -215,18 +215,33 @@ def decode_tiles(tiles: DataFrame) -> DataFrame:
     n_shape, the sums of the shape's coordinates along the edge, each times its place, and the components of both ends."""
     schema = "cell string, reverse boolean, source long, target long, weight long, n_shape int, lat_sum double, lon_sum double, source_component int, target_component int"
 
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def of_tile(tile: Tile) -> Iterator[tuple]:
+        """The columns of each adjacency of a tile."""
+        sums: dict[int, tuple[int, float, float]] = {}
+        for backwards, (offsets, far, weight, refs) in enumerate(tile.lists):
+            if not len(far):
+                continue
+            near = np.repeat(np.arange(len(tile.ids)), np.diff(offsets.astype(np.int64)))
+            source, target = (far, near) if backwards else (near, far)
+            # A reference of the reverse list says how the shape runs against the edge.
+            along = (refs ^ np.uint32(BACKWARDS) if backwards else refs).tolist()
+            for ref in along:
+                if ref not in sums:
+                    points = np.array(tile.shape(ref)).reshape(-1, 2)
+                    sums[ref] = (len(points), *(np.arange(1, len(points) + 1) @ points).tolist())
+            n, lat, lon = zip(*(sums[r] for r in along))
+            size = len(far)
+            yield (
+                np.full(size, tile.cell), np.full(size, bool(backwards)), tile.ids[source].astype(np.int64), tile.ids[target].astype(np.int64), weight.astype(np.int64), np.array(n, np.int32),
+                np.array(lat), np.array(lon), tile.component[source].astype(np.int32), tile.component[target].astype(np.int32),
+            )
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for blob in pdf["blob"]:
-                tile = Tile(bytes(blob))
-                part = lambda ids: tile.component[np.searchsorted(tile.ids, ids)].astype(np.int32)
-                for backwards in (False, True):
-                    e = tile.edges(backwards)
-                    if len(e):
-                        sums = np.array([(np.arange(1, len(s) + 1) @ np.array(s)).tolist() if s else (0.0, 0.0) for s in e["shape"]])
-                        yield pd.DataFrame({
-                            "cell": tile.cell, "reverse": backwards, "source": e["source"], "target": e["target"], "weight": e["weight"], "n_shape": e["shape"].map(len).astype(np.int32),
-                            "lat_sum": sums[:, 0], "lon_sum": sums[:, 1], "source_component": part(e["source"].to_numpy()), "target_component": part(e["target"].to_numpy()),
-                        })
+            parts = [part for blob in pdf["blob"] for part in of_tile(Tile(bytes(blob)))]
+            if parts:
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(columns, zip(*parts))})
 
     return tiles.select(F.col("blob")).mapInPandas(run, schema)
