@@ -31,9 +31,9 @@ with usable as (
   select dataset_id, delivered_at, unnest(elements) as e from osm_snapshots
 ), flat as (
   select dataset_id, e.type as element_type, e.id as element_id,
-         max(concat_ws('|', coalesce(cast(round(e.lat * 1e7) as bigint)::varchar, '-'), coalesce(cast(round(e.lon * 1e7) as bigint)::varchar, '-'),
-             coalesce(e.nodes::varchar, '-'), coalesce(list_sort(map_entries(e.tags))::varchar, '[]'))) as body
-  from el where e.type is not null and e.id is not null group by all
+         arg_max(concat_ws('|', coalesce(cast(round(e.lat * 1e7) as bigint)::varchar, '-'), coalesce(cast(round(e.lon * 1e7) as bigint)::varchar, '-'),
+             coalesce(e.nodes::varchar, '-'), coalesce(list_sort(map_entries(e.tags))::varchar, '[]')), delivered_at) as body
+  from el where e.type is not null and e.id is not null group by dataset_id, e.type, e.id
 ), a as (select o.region_id, f.* from flat f join ordered o using (dataset_id) where o.seq > 1),
 b as (select o.region_id, o.next_dataset as dataset_id, f.element_type, f.element_id, f.body from flat f join ordered o using (dataset_id) where o.next_dataset is not null)
 select coalesce(a.region_id, b.region_id) as region_id, coalesce(a.dataset_id, b.dataset_id) as dataset_id,
