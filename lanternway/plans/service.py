@@ -127,14 +127,13 @@ def sound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tile_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tiles written as binary route tiles and read back: both adjacencies with shapes and components. Nodes without edges
-    are in no tile. The format numbers components in 16 bits; more of them are an error."""
+    are in no tile. Tiles with components beyond 16 bits are of the wide version."""
     scratch = Scratch(spark, "tiles")
     numbered = scratch.keep(dense_ids(spark, sf_dir))
     owned = _owned(spark, sf_dir).withColumnRenamed("node_id", "osm_id").join(numbered, "osm_id")
     edges = scratch.keep(sound_edges(spark, sf_dir))
     root = connected_components(edges).withColumn("first_seen", F.col("node_id"))
-    fits = F.when(F.col("component") <= 0xFFFF, F.col("component")).otherwise(F.raise_error(F.lit("component id exceeds 16 bits")).cast("long"))
-    ranked = ranked_components(root).select(F.col("node_id").alias("osm_id"), fits.cast("int").alias("component"))
+    ranked = ranked_components(root).select(F.col("node_id").alias("osm_id"), F.col("component").cast("int").alias("component"))
     occurs = edges.select(F.explode(F.array("source", "target")).alias("osm_id")).groupBy("osm_id").agg((F.count(F.lit(1)) > 1).alias("junction"))
     nodes = scratch.keep(owned.join(ranked, "osm_id").join(occurs, "osm_id").select("osm_id", "node_id", "lat", "lon", "cell", "component", "junction"))
     number = lambda c: nodes.select(F.col("osm_id").alias(c), F.col("node_id").alias(f"{c}_no"))
