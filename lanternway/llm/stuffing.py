@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lanternway.runtime import Scratch
+
 #: Fixed lists: frequent function words by language; fewer than fifty each.
 FUNCTION_WORDS = {
     "en": "the a an of to and in is was that it for on with as by at from which were are be this had has have not but they their we our you your she he his her or who when where what so until because although though after before nobody every some most despite than then there no if yet",
@@ -302,52 +305,54 @@ def is_stuffed(stuffed: int, other: int) -> bool:
     return stuffed >= LEAST and stuffed > MOST * (stuffed + other)
 
 
-#: Clause words are learnt from about so many pages at most, for languages with at least so many of them.
-SAMPLE_PAGES, LEARN_PAGES = 20_000, 100
+#: Clause words are learnt for languages with at least so many pages.
+LEARN_PAGES = 100
 #: A clause word occurs in the sentences of so many of a language's pages, in so many times more pages there than outside of
 #: sentences, and with so many different words behind it; a language has at most so many.
 IN_PAGES, MORE_THAN_OUTSIDE, FOLLOWERS, MOST_WORDS = 0.05, 8, 20, 300
 
 
-def learn_clause_words(docs: DataFrame, sample: int = SAMPLE_PAGES) -> frozenset:
+def learn_clause_words(docs: DataFrame) -> frozenset:
     """Words that belong to sentences, by language, learnt from pages that label themselves: segments of some words that end
-    like a sentence against all others. docs: doc_id, text, lang. The pages are those with the smallest hashes of their ids, about
-    ``sample`` of them at any size of the table; at most MOST_WORDS a language come back.
+    like a sentence against all others. docs: text, lang. All pages are counted; at most MOST_WORDS a language come back.
     """
-    n = docs.count()
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pages: dict = {}  # by language, as the others
             inside: dict = {}
             outside: dict = {}
             after: dict = {}
-            pages: dict = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pages[lang] = pages.get(lang, 0) + 1
                 within, beside = set(), set()
-                for line in SEGMENT.findall(text):
+                follow = after.setdefault(lang, {})
+                for line in SEGMENT.findall(text.lower()):
                     for raw in SENTENCE.split(line):
-                        words = [w for w in WORD.findall(raw.lower()) if w.isalpha()]
+                        words = [w for w in WORD.findall(raw) if w.isalpha()]
                         if len(words) >= CLAUSE_WORDS and ENDED.search(raw):
                             within.update(words)
                             for a, b in zip(words, words[1:]):
-                                some = after.setdefault((lang, a), set())
-                                if len(some) < FOLLOWERS:
+                                some = follow.get(a)
+                                if some is None:
+                                    follow[a] = {b}
+                                elif len(some) < FOLLOWERS:
                                     some.add(b)
                         else:
                             beside.update(words)
-                for w in within:
-                    inside[lang, w] = inside.get((lang, w), 0) + 1
-                for w in beside:
-                    outside[lang, w] = outside.get((lang, w), 0) + 1
-            keys = [*inside, *((lang, None) for lang in pages)]
-            rows = [[k[0] for k in keys], [k[1] for k in keys], [inside.get(k, 0) if k[1] is not None else pages[k[0]] for k in keys], [outside.get(k, 0) for k in keys], [sorted(after.get(k, ())) for k in keys]]
+                inside.setdefault(lang, Counter()).update(within)
+                outside.setdefault(lang, Counter()).update(beside)
+            if not pages:
+                continue
+            # A word that stands in no sentence here still counts outside of them.
+            rows = [(lang, w, inside[lang][w], outside[lang][w], list(after[lang].get(w, ()))) for lang in pages for w in inside[lang].keys() | outside[lang].keys()]
+            rows += [(lang, None, n, 0, []) for lang, n in pages.items()]
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names=["lang", "word", "inside", "outside", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(zip(*rows), kinds)], names=["lang", "word", "inside", "outside", "after"])
 
-    counted = part.where("text is not null").select("lang", "text").mapInArrow(count, "lang string, word string, inside long, outside long, after array<string>")
+    counted = docs.where("text is not null").select("lang", "text").mapInArrow(count, "lang string, word string, inside long, outside long, after array<string>")
     sums = counted.groupBy("lang", "word").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"), F.size(F.array_distinct(F.flatten(F.collect_list("after")))).alias("after"))
+    sums = Scratch(docs.sparkSession, "words").keep(sums)
     pages = sums.where(f"word is null and inside >= {LEARN_PAGES}").select(F.col("lang").alias("of"), F.col("inside").alias("pages"))
     words = sums.where("word is not null").join(F.broadcast(pages.limit(10_000)), F.col("lang").eqNullSafe(F.col("of")))
     words = words.where((F.col("inside") >= IN_PAGES * F.col("pages")) & (F.col("inside") >= MORE_THAN_OUTSIDE * F.col("outside")) & (F.col("after") >= FOLLOWERS))
