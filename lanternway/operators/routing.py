@@ -15,10 +15,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lanternway.functions.geo import HEURISTIC_MPS
 from lanternway.functions.lines import metres_between
-from lanternway.operators.search import KERNEL_EDGES, MOST_FACTOR, PackedGraph
+from lanternway.operators import search
+from lanternway.operators.components import connected_components
+from lanternway.operators.search import MOST_FACTOR, PackedGraph
+from lanternway.runtime import Scratch
 
 Cost = Callable[[int, int, int], int]
 
@@ -235,32 +239,62 @@ class Within:
             yield from ((end, w) for end, w in self.graph.arcs(node, backwards) if self.position(end) is not None)
 
 
-def routes(links: DataFrame, nodes: DataFrame, requests: DataFrame, most_settled: int | None = None) -> DataFrame:
+def _arrays(links: pd.DataFrame, nodes: pd.DataFrame) -> NodeLinks:
+    return NodeLinks(*(links[c].to_numpy(np.int64) for c in "abw"), nodes["node_id"].to_numpy(np.int64), nodes["lat"].to_numpy(float), nodes["lon"].to_numpy(float), nodes["component"].fillna(-1).to_numpy(np.int64))
+
+
+def _routed(graph: NodeLinks, asked: pd.DataFrame, most_settled: int | None) -> pd.DataFrame:
+    rows = []
+    for r, s, t in asked.itertuples(index=False):
+        known = not (pd.isna(s) or pd.isna(t))
+        got = route(graph, int(s), int(t), most_settled=most_settled) if known else Route("no-route")
+        rows.append((r, s, t, got.status, got.cost, got.path, got.settled, graph.ahead.settled(int(s), int(t)) if got.path else 0))
+    out = pd.DataFrame(rows, columns=["request_id", "source", "target", "status", "cost", "path", "settled", "settled_plain"])
+    return out.astype({"source": "Int64", "target": "Int64", "cost": "Int64"})
+
+
+def routes(links: DataFrame, nodes: DataFrame, requests: DataFrame, most_settled: int | None = None, parts: DataFrame | None = None) -> DataFrame:
     """``route`` for each request, spread over tasks: request_id, source, target, status, cost, path, settled, settled_plain.
 
     links: a, b, w with weights no less than ``least_weight`` of their ends, else costs may not be the least. nodes: node_id, lat, lon,
-    component. settled_plain is what a one-sided search without potentials settles. Null or unknown ends have no route. For
-    graphs of at most KERNEL_EDGES links, as every task holds them; search.shortest_paths has no such bound.
+    component. settled_plain is what a one-sided search without potentials settles. Null or unknown ends have no route. parts:
+    node_id, root of the weakly connected components of links, where they are known. Links that are more than the driver
+    should hold go to the tasks by component; inside one of more than KERNEL_EDGES rows search.relax finds the ways, settled is null, and a budget is an error.
     """
     spark = links.sparkSession
-    if links.count() > KERNEL_EDGES:
-        raise ValueError(f"more than {KERNEL_EDGES} links: use shortest_paths")
+    checked_budget(most_settled)
+    links = links.select("a", "b", "w")
     ends = links.selectExpr("explode(array(a, b)) as node_id").distinct()
-    e, n = links.select("a", "b", "w").toPandas(), nodes.join(ends, "node_id", "left_semi").select("node_id", "lat", "lon", "component").toPandas()
-    whole = NodeLinks(*(e[c].to_numpy(np.int64) for c in "abw"), n["node_id"].to_numpy(np.int64), n["lat"].to_numpy(float), n["lon"].to_numpy(float), n["component"].fillna(-1).to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast(whole)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = shared.value
-        for pdf in batches:
-            rows = []
-            for r, s, t in pdf.itertuples(index=False):
-                known = not (pd.isna(s) or pd.isna(t))
-                got = route(graph, int(s), int(t), most_settled=most_settled) if known else Route("no-route")
-                rows.append((r, s, t, got.status, got.cost, got.path, got.settled, graph.ahead.settled(int(s), int(t)) if got.path else 0))
-            out = pd.DataFrame(rows, columns=["request_id", "source", "target", "status", "cost", "path", "settled", "settled_plain"])
-            yield out.astype({"source": "Int64", "target": "Int64", "cost": "Int64"})
-
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = requests.select("request_id", "source", "target").distinct().repartition(n_parts, "request_id")
-    return asked.mapInPandas(run, "request_id long, source long, target long, status string, cost long, path array<bigint>, settled long, settled_plain long")
+    placed = nodes.join(ends, "node_id", "left_semi").select("node_id", "lat", "lon", "component")
+    asked = requests.select("request_id", "source", "target").distinct()
+    schema = "request_id long, source long, target long, status string, cost long, path array<bigint>, settled long, settled_plain long"
+    if links.count() <= search.DRIVER_EDGES:
+        shared = spark.sparkContext.broadcast(_arrays(links.toPandas(), placed.toPandas()))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield _routed(shared.value, pdf, most_settled)
+
+        n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return asked.repartition(n_parts, "request_id").mapInPandas(run, schema)
+    if parts is None:
+        parts = connected_components(links.select(F.col("a").alias("source"), F.col("b").alias("target")))
+    rows = links.selectExpr("true as link", "a", "b", "w", "0D as lat", "0D as lon", "0L as component")
+    rows = rows.unionByName(placed.selectExpr("false as link", "node_id as a", "0L as b", "0L as w", "cast(lat as double) as lat", "cast(lon as double) as lon", "coalesce(cast(component as long), -1) as component"))
+
+    def find(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        link = rows["link"].to_numpy(bool)
+        return _routed(_arrays(rows[link], rows[~link].rename(columns={"a": "node_id"})), asked, most_settled)
+
+    found, large = search.by_component(rows, asked, parts, find, schema)
+    if large is None:
+        return found
+    if most_settled is not None:
+        raise ValueError(f"a budget holds for components of at most {search.KERNEL_EDGES} rows only")
+    for end in ("source", "target"):
+        large = large.join(nodes.select(F.col("node_id").alias(end), F.coalesce("component", F.lit(-1)).alias(f"{end}_part")), end, "left")
+    # As route has it: an end without a place, or ends in different components, have no route.
+    large = Scratch(spark, "large").keep(large.withColumn("open", F.expr("source_part is not null and target_part is not null and (source_part = target_part or source_part < 0 or target_part < 0)")))
+    ways = search.relaxed(links, parts, large.where("open")).select("request_id", "source", "target", "status", "cost", "path")
+    shut = large.where("not open").selectExpr("request_id", "source", "target", "'no-route' as status", "cast(null as long) as cost", "cast(array() as array<bigint>) as path")
+    return found.unionByName(ways.unionByName(shut).selectExpr("*", "cast(null as long) as settled", "cast(null as long) as settled_plain"))

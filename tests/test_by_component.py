@@ -42,3 +42,17 @@ def test_paths(graph, monkeypatch, limits):
     monkeypatch.setattr(type(edges), "toPandas", refuse)
     assert rows(search.shortest_paths(edges, asks), *columns) == want
 
+
+@pytest.mark.parametrize("limits", [{"GROUP_EDGES": 5, "GROUP_WORK": 50}, {"KERNEL_EDGES": 37}])
+def test_routes(graph, monkeypatch, limits):
+    edges, nodes, asks = graph
+    links = search.costed(edges)
+    columns = ("request_id", "source", "target", "status", "cost") + (() if "KERNEL_EDGES" in limits else ("path", "settled", "settled_plain"))
+    want = rows(routing.routes(links, nodes, asks), *columns)
+    for name, value in {"DRIVER_EDGES": 0, **limits}.items():
+        monkeypatch.setattr(search, name, value)
+    monkeypatch.setattr(type(edges), "toPandas", refuse)
+    assert rows(routing.routes(links, nodes, asks), *columns) == want
+    if "KERNEL_EDGES" in limits:
+        with pytest.raises(ValueError):
+            routing.routes(links, nodes, asks, most_settled=5)
