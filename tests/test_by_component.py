@@ -56,3 +56,15 @@ def test_routes(graph, monkeypatch, limits):
     if "KERNEL_EDGES" in limits:
         with pytest.raises(ValueError):
             routing.routes(links, nodes, asks, most_settled=5)
+
+
+@pytest.mark.parametrize("name", ["shortest_path_check"])
+def test_queries(spark, monkeypatch, name):
+    from lanternway.plans import routing as plans
+
+    df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = rows(df, *df.columns)
+    monkeypatch.setattr(search, "DRIVER_EDGES", 0)
+    monkeypatch.setattr(type(df), "toPandas", refuse)
+    df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rows(df, *df.columns) == want and want
