@@ -58,7 +58,7 @@ def test_routes(graph, monkeypatch, limits):
             routing.routes(links, nodes, asks, most_settled=5)
 
 
-@pytest.mark.parametrize("name", ["shortest_path_check"])
+@pytest.mark.parametrize("name", ["shortest_path_check", "plan_walk"])
 def test_queries(spark, monkeypatch, name):
     from lanternway.plans import routing as plans
 
