@@ -1,6 +1,6 @@
 """Keyword-stuffed and link-list pages: repeated substrings against clause structure.
 
-For each page the suffixes of its text are ranked as for a suffix array, which says which characters lie in a
+For each page the suffixes of its text are numbered by how they begin, which says which characters lie in a
 substring that the page repeats, and so which words repeats cover. A segment that has the makings of a clause
 (words that belong to sentences among others, or the grammar of its script) is writing however often it recurs; one
 without them whose words repeats cover, or that is a bare link, is stuffing. A page is a case if stuffing makes up most
@@ -68,32 +68,59 @@ UNREADABLE, COVERED_UNREADABLE = 0.05, 0.85
 FITS = 0.5
 
 
+def _often(text: str, depth: int, times: int) -> np.ndarray:
+    """Where substrings of ``depth`` characters begin that the text holds ``times`` times.
+
+    They are numbered exactly by their characters where these are few enough for that, else ranked by their first 1, 2, 4, ..
+    characters, as suffixes are for a suffix array, up to ``depth``: those of equal rank share that many characters.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes) - depth + 1
+    if n < times:
+        return np.empty(0, np.int64)
+    number = codes == ord("#")
+    used = np.bincount(codes) > 0
+    kinds = int(np.count_nonzero(used))
+    if times > 1 and kinds**depth < 2**63:
+        rank = (np.cumsum(used) - 1)[codes]
+        key = rank[:n].copy()
+        for k in range(1, depth):
+            key *= kinds
+            key += rank[k : n + k]
+        begins = np.flatnonzero(np.convolve(number, np.ones(depth, np.int64))[depth - 1 : depth - 1 + n] == 0) if number.any() else np.arange(n)
+        key = key[begins]
+        ordered = np.sort(key)
+        repeats = ordered[times - 1 :][ordered[times - 1 :] == ordered[: len(ordered) - times + 1]]
+        if not len(repeats):
+            return repeats
+        at = np.searchsorted(repeats, key)
+        return begins[repeats[np.minimum(at, len(repeats) - 1)] == key]
+    codes = codes.astype(np.int64)
+    codes[number] = -1 - np.arange(np.count_nonzero(number))
+    _, rank = np.unique(codes, return_inverse=True)
+    known = 1
+    while known < depth:
+        step = min(known, depth - known)
+        pairs = rank[:-step] * (len(codes) + 1) + rank[step:]
+        order = np.argsort(pairs, kind="stable")
+        new = np.r_[True, np.diff(pairs[order]) > 0]
+        rank = np.empty(len(pairs), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        known += step
+    return np.flatnonzero(np.bincount(rank)[rank] >= times)
+
+
 def repeated(text: str, depth: int, times: int) -> np.ndarray:
     """Which characters lie in a substring of ``depth`` characters and more that the text holds ``times`` times.
 
-    The suffixes are ranked by their first 1, 2, 4, .. characters, as for a suffix array, up to ``depth``: suffixes of equal rank
-    share that many characters. A longer repeat consists of repeats of ``depth`` characters, so further ranks change nothing.
+    A longer repeat consists of repeats of ``depth`` characters, so these are enough.
     Numbers ("#") differ from each other, as repeats of columns of figures say nothing of the words beside them.
     """
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    n = len(codes)
-    numbers = np.flatnonzero(codes == ord("#"))
-    codes[numbers] = -1 - np.arange(len(numbers))
-    out = np.zeros(n + 1, np.int64)
-    if n >= depth:
-        _, rank = np.unique(codes, return_inverse=True)
-        known = 1
-        while known < depth:
-            step = min(known, depth - known)
-            pairs = rank[:-step] * (n + 1) + rank[step:]
-            order = np.argsort(pairs, kind="stable")
-            new = np.r_[True, np.diff(pairs[order]) > 0]
-            rank = np.empty(len(pairs), np.int64)
-            rank[order] = np.cumsum(new) - 1
-            known += step
-        often = np.flatnonzero(np.bincount(rank)[rank] >= times)
-        out += np.bincount(often, minlength=n + 1)
-        out[depth:] -= np.bincount(often, minlength=n + 1)[: n + 1 - depth]
+    n = len(text)
+    often = _often(text, depth, times)
+    out = np.zeros(n + depth + 1, np.int64)
+    out[often] += 1
+    out[often + depth] -= 1
     return np.cumsum(out)[:n] > 0
 
 
@@ -182,6 +209,17 @@ def _plain(word: str) -> str:
     return DIGITS.sub("#", w)
 
 
+class _Spelled(dict):
+    """The number of each spelling; words of one plain form share it."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.ids = ids
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = self.ids.setdefault(_plain(word), len(self.ids))
+        return k
+
+
 def has_clause(raw: str, words: list[int], free: list[bool], function: list[bool], ended: bool = False) -> bool:
     """Whether a segment reads as (part of) a sentence rather than as a list item.
 
@@ -214,20 +252,17 @@ def blocks_of(text: str, known: frozenset = FUNCTION) -> list[tuple[int, int, bo
     """
     text = repaired(html.unescape(text), known).replace("\xa0", " ")
     ids: dict[str, int] = {}
-    spelled: dict[str, int] = {}
+    spelled = _Spelled(ids)
     seq: list[int] = []
     segments: list[tuple[int, int, bool, str, int]] = []  # first, end, is a link or tag, bare text, its length
     for line in SEGMENT.findall(text):
         if NOTICE.search(line):
             continue
         for raw in SENTENCE.split(line):
-            bare, marks = LINK.subn(" ", raw) if "." in raw else (raw, 0)
+            # no link without a point that is followed by something, or a scheme
+            bare, marks = LINK.subn(" ", raw) if "." in raw[:-1] or ("://" in raw and "." in raw) else (raw, 0)
             first = len(seq)
-            for w in WORD.findall(bare):
-                k = spelled.get(w)
-                if k is None:
-                    k = spelled[w] = ids.setdefault(_plain(w), len(ids))
-                seq.append(k)
+            seq += [spelled[w] for w in WORD.findall(bare)]
             lost = raw.count("\ufffd")
             marked = marks > 0 or (not ARROWS.isdisjoint(raw) and bool(ARROW.search(raw))) or ("#" in raw and bool(TAGS.search(raw)))
             marked = marked and 2 * lost <= len(raw)  # a link in text that is lost says nothing of that text
@@ -236,43 +271,44 @@ def blocks_of(text: str, known: frozenset = FUNCTION) -> list[tuple[int, int, bo
     if not segments:
         return []
     by_number = list(ids)
-    plain = [by_number[k] for k in seq]
-    followers: dict[int, set[int]] = {}
-    counts = [0] * len(ids)
-    for k, after in zip(seq, [*seq[1:], -1]):
-        counts[k] += 1
-        followers.setdefault(k, set()).add(after)
     free = [False] * len(ids)
     function = [False] * len(ids)
     number = ids.get("#", -1)
+    at = np.array(seq, np.int64)
+    after = np.append(at[1:], -1)
+    counts = np.bincount(at, minlength=len(ids)).tolist()
     for word, k in ids.items():
         if word in known:
-            function[k] = True
-            free[k] = len(followers[k]) != 1 or counts[k] < BOUND_TIMES or number in followers[k]
+            function[k] = free[k] = True
+            if counts[k] >= BOUND_TIMES:
+                behind = after[at == k]
+                free[k] = bool((behind != behind[0]).any()) or int(behind[0]) == number
     # Words stand between single blanks, so that a short word repeated is a repeat of some length as well.
-    sizes = np.array([len(w) for w in plain], np.int64)
-    begin = 1 + np.r_[0, np.cumsum(sizes + 1)[:-1]] if plain else np.empty(0, np.int64)
-    total = np.r_[0, np.cumsum(repeated(f" {' '.join(plain)} ", DEPTH, TIMES))]
-    lost = {k: w.count("\ufffd") for w, k in ids.items() if "\ufffd" in w}
-    weights = [0 if by_number[k] == "#" else len(by_number[k]) - lost.get(k, 0) for k in seq]
-    caught_at = np.where(total[begin + sizes] - total[begin] >= sizes, weights, 0).tolist() if plain else []
+    length_of = np.array([len(w) for w in by_number], np.int64)
+    weight_of = np.array([0 if w == "#" else len(w) - w.count("\ufffd") for w in by_number], np.int64)
+    sizes = length_of[at] if seq else at
+    begin = np.cumsum(sizes + 1) - sizes
+    total = np.append(0, np.cumsum(repeated(f" {' '.join([by_number[k] for k in seq])} ", DEPTH, TIMES)))
+    weights = weight_of[at] if seq else at
+    caught_at = np.where(total[begin + sizes] - total[begin] >= sizes, weights, 0)
+    weighed, met = ([0, *np.cumsum(x).tolist()] for x in (weights, caught_at))  # up to each word
     out: list[tuple[int, int, bool, str]] = []
     size = caught = 0
     held: list[str] = []
     for first, end, marked, bare, length in segments:
-        n = sum(weights[first:end])
+        n = weighed[end] - weighed[first]
         if has_clause(bare, seq[first:end], free, function, marked):
             if held:
                 out.append((size, caught, False, " / ".join(held)))
                 size, caught, held = 0, 0, []
-            out.append((n, sum(caught_at[first:end]), True, bare))
+            out.append((n, met[end] - met[first], True, bare))
             continue
         held.append(bare)
         if marked:
             n = max(n, length)
             caught += n
         else:
-            caught += sum(caught_at[first:end])
+            caught += met[end] - met[first]
         size += n
     if held:
         out.append((size, caught, False, " / ".join(held)))
@@ -310,6 +346,8 @@ LEARN_PAGES = 100
 #: A clause word occurs in the sentences of so many of a language's pages, in so many times more pages there than outside of
 #: sentences, and with so many different words behind it; a language has at most so many.
 IN_PAGES, MORE_THAN_OUTSIDE, FOLLOWERS, MOST_WORDS = 0.05, 8, 20, 300
+#: Pages whose pairs of neighbouring words are held before they are counted.
+PAIRS_PAGES = 500
 
 
 def learn_clause_words(docs: DataFrame) -> frozenset:
@@ -323,29 +361,40 @@ def learn_clause_words(docs: DataFrame) -> frozenset:
             inside: dict = {}
             outside: dict = {}
             after: dict = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            pairs: dict = {}  # neighbours, before they are counted
+
+            def counted() -> None:
+                for lang, some_pairs in pairs.items():
+                    follow = after.setdefault(lang, {})
+                    for a, b in some_pairs:
+                        some = follow.get(a)
+                        if some is None:
+                            follow[a] = {b}
+                        elif len(some) < FOLLOWERS:
+                            some.add(b)
+                pairs.clear()
+
+            for k, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if k % PAIRS_PAGES == 0:
+                    counted()
                 pages[lang] = pages.get(lang, 0) + 1
                 within, beside = set(), set()
-                follow = after.setdefault(lang, {})
+                beginning = pairs.setdefault(lang, set())
                 for line in SEGMENT.findall(text.lower()):
                     for raw in SENTENCE.split(line):
                         words = [w for w in WORD.findall(raw) if w.isalpha()]
                         if len(words) >= CLAUSE_WORDS and ENDED.search(raw):
                             within.update(words)
-                            for a, b in zip(words, words[1:]):
-                                some = follow.get(a)
-                                if some is None:
-                                    follow[a] = {b}
-                                elif len(some) < FOLLOWERS:
-                                    some.add(b)
+                            beginning.update(zip(words, words[1:]))
                         else:
                             beside.update(words)
                 inside.setdefault(lang, Counter()).update(within)
                 outside.setdefault(lang, Counter()).update(beside)
             if not pages:
                 continue
+            counted()
             # A word that stands in no sentence here still counts outside of them.
-            rows = [(lang, w, inside[lang][w], outside[lang][w], list(after[lang].get(w, ()))) for lang in pages for w in inside[lang].keys() | outside[lang].keys()]
+            rows = [(lang, w, inside[lang][w], outside[lang][w], list(after.get(lang, {}).get(w, ()))) for lang in pages for w in inside[lang].keys() | outside[lang].keys()]
             rows += [(lang, None, n, 0, []) for lang, n in pages.items()]
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(zip(*rows), kinds)], names=["lang", "word", "inside", "outside", "after"])
